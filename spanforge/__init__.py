@@ -1,0 +1 @@
+"""A code-graph query engine on DataFrames."""
