@@ -91,7 +91,7 @@ class Tokens:
     def _hash(self) -> np.ndarray:
         n = len(self.data)
         out = np.zeros(len(self.start), np.uint64)
-        step = 1 << 22  # tables stay small, whatever the length of the batch
+        step = 1 << 18  # tables stay in the cache, whatever the length of the batch
         lo = 0
         while lo < len(self.start):
             base = self.start[lo]
@@ -123,7 +123,7 @@ def ngram_hash(h: np.ndarray, n: int, doc: np.ndarray) -> tuple[np.ndarray, np.n
     return acc[same], doc[:m][same]
 
 
-def slices(texts: list, budget: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: list, budget: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Cut a batch at text borders into slices of about ``budget`` characters; a longer text is a slice of its own."""
     lo = size = 0
     for i, t in enumerate(texts):

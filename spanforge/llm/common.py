@@ -34,14 +34,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def pieces(batch: pa.RecordBatch, column: str, budget: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
+def pieces(batch: pa.RecordBatch, column: str, budget: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of a batch with their texts, cut by size so that memory doesn't follow the number of rows in a batch."""
     texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
     for lo, hi in slices(texts, budget):
         yield batch.slice(lo, hi - lo), texts[lo:hi]
 
 
-def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema: str, column: str = "text", budget: int = 8 << 20) -> DataFrame:
+def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema: str, column: str = "text", budget: int = 2 << 20) -> DataFrame:
     """Apply ``fn(rows, texts)`` to slices of the input; rows stay where they are (no shuffle)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +58,7 @@ def ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def keep_rows(df: DataFrame, mask: Callable[[list], np.ndarray], column: str = "text", budget: int = 8 << 20) -> DataFrame:
+def keep_rows(df: DataFrame, mask: Callable[[list], np.ndarray], column: str = "text", budget: int = 2 << 20) -> DataFrame:
     """The rows of ``df`` whose text ``mask`` keeps, all columns as they were (no shuffle)."""
 
     def fn(rows: pa.RecordBatch, texts: list) -> pa.RecordBatch:
@@ -67,8 +67,16 @@ def keep_rows(df: DataFrame, mask: Callable[[list], np.ndarray], column: str = "
     return map_texts(df, fn, df.schema, column, budget)
 
 
-def text_or_empty(column: str = "text") -> "F.Column":
-    return F.coalesce(F.col(column), F.lit(""))
+def smallest_hashes(df: DataFrame, key: str, n: int, *ties: str) -> DataFrame:
+    """The n rows of the smallest hashes of ``key`` (all, if there are no more).
+
+    Rows are counted first and cut by the hash that n of them are below, so what is sorted is bounded by n.
+    """
+    total = df.count()
+    if total > n:
+        share = min(1.0, (n + 6 * n**0.5 + 50) / total)
+        df = df.where(F.xxhash64(key) <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63)))
+    return df.orderBy(F.xxhash64(key), key, *ties).limit(n)
 
 
 def lists(values: np.ndarray, count: np.ndarray, kind: pa.DataType) -> pa.Array:
