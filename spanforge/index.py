@@ -66,6 +66,19 @@ class Index:
             self._results.pop(next(iter(self._results)))
         return found
 
+    def ask(self, query: str, form: str = "json", projection: str = "names", limit: int = 100, timeout: float | None = 5.0) -> str:
+        """A query's first ``limit`` symbols as JSON or Markdown."""
+        from spanforge import render
+
+        graph = to_graph(self.query(query, timeout), limit)
+        if form == "json":
+            return render.to_json(graph)
+        if form != "markdown":
+            raise ValueError(f"there is no format {form!r}")
+        wanted = [int(o["object_id"]) for o in graph["objects"]]  # of `limit` symbols
+        rows = search.contents(self.graph()).where(F.col("object_id").isin(wanted) & F.col("content").isNotNull()).select("object_id", "content").collect()
+        return render.to_markdown(query, graph, {str(r.object_id): bytes(r.content) for r in rows}, projection)
+
     def suggest(self, name: str, limit: int = 5, graph: Graph | None = None) -> list[str]:
         """Names like one that doesn't exist."""
         return [r.name for r in similarity.suggest((graph or self.graph()).tables["symbols"], name, limit).collect()]

@@ -16,13 +16,25 @@ from pyspark.sql import types as T
 from spanforge.functions import names
 from spanforge.schema import SYMBOL_TYPES, TABLES
 
-SYMBOL = "array<struct<local_id:long,name:string,scope:int,type:int>>"
-OBJECT = (
-    "array<struct<local_id:long,module_path:string,filesystem_path:string,filetype:string,content:binary,content_hash:string,"
-    "symbol_instances:array<struct<symbol_local_id:long,instance_type:int,start_offset:int,end_offset:int>>,"
-    "refs:array<struct<to_symbol_local_id:long,from_offset_start:int,from_offset_end:int>>>>"
+_KINDS = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "binary": T.BinaryType()}
+
+
+def _rows(**fields: "str | T.DataType") -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(n, _KINDS[k] if isinstance(k, str) else k) for n, k in fields.items()]))
+
+
+SYMBOL = _rows(local_id="long", name="string", scope="int", type="int")
+OBJECT = _rows(
+    local_id="long",
+    module_path="string",
+    filesystem_path="string",
+    filetype="string",
+    content="binary",
+    content_hash="string",
+    symbol_instances=_rows(symbol_local_id="long", instance_type="int", start_offset="int", end_offset="int"),
+    refs=_rows(to_symbol_local_id="long", from_offset_start="int", from_offset_end="int"),
 )
-CHUNK = T.StructType.fromDDL(f"project_id int, kind string, seq int, symbols {SYMBOL}, objects {OBJECT}, contents array<struct<content_hash:string,content:binary>>")
+CHUNK = _rows(project_id="int", kind="string", seq="int", symbols=SYMBOL, objects=OBJECT, contents=_rows(content_hash="string", content="binary")).elementType
 
 
 def latest(chunks: DataFrame) -> DataFrame:
