@@ -22,6 +22,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ from spanforge.llm.common import cut, shared_dir
 BATCHES = 3
 #: digests in a bucket
 BUCKET_ROWS = 100_000
+#: keys of suspects up to which their filter is sent to every task (9 bits each)
+FILTER_KEYS = 20_000_000
 
 
 class BinaryFuse8:
@@ -138,7 +141,7 @@ def screen(rows: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
     return own.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(probe, "doc_id long, digest binary")
 
 
-def dedup(docs: DataFrame, batches: int = BATCHES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def dedup(docs: DataFrame, batches: int = BATCHES, bucket_rows: int = BUCKET_ROWS, filter_keys: int = FILTER_KEYS) -> DataFrame:
     """Each document whose text an earlier one has: ``doc_id``, ``duplicate_of`` (the smallest id with that text)."""
     spark: SparkSession = docs.sparkSession
     at = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
@@ -164,14 +167,41 @@ def dedup(docs: DataFrame, batches: int = BATCHES, bucket_rows: int = BUCKET_ROW
         if b < batches - 1:
             build_filters(own, buckets).write.parquet(f"{at}/filters/snapshot={b}")
             filters = spark.read.schema("bucket int, filter binary, snapshot int").parquet(f"{at}/filters").select("bucket", "filter")
-    suspects = cut(suspects.distinct())
-    ids = cut(table.join(suspects, "digest", "left_semi").select("doc_id").distinct())
-    # the byte check: the texts of suspects alone are grouped
-    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(ids, "doc_id", "left_semi")
+    keys = cut(suspects.distinct().select(F.xxhash64("digest").alias("key")))
+    texts = _texts(docs, keys, filter_keys, bucket_rows)
+    # the byte check: a text that a filter let through by mistake is alone in its group
     named = texts.groupBy("text").agg(F.min("doc_id").alias("duplicate_of"), F.collect_set("doc_id").alias("ids"))
     return named.select(F.explode("ids").alias("doc_id"), "duplicate_of").where("doc_id <> duplicate_of")
 
 
+def _texts(docs: DataFrame, keys: DataFrame, limit: int, bucket_rows: int) -> DataFrame:
+    """Ids and texts of the documents with one of ``keys``, and a few others.
+
+    Up to ``limit`` keys, a filter of them (9 bits a key) goes to every task and the scan drops the other documents, so
+    only texts under suspicion move; beyond, all texts are joined with the keys.
+    """
+    spark = docs.sparkSession
+    own = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    keyed = own.withColumn("key", F.xxhash64(F.substring(F.unhex(F.sha2("text", 256)), 1, 16)))
+    n = keys.count()
+    if n > limit:
+        return keyed.join(keys, "key", "left_semi").select("doc_id", "text")
+    buckets = max(1, -(-n // bucket_rows))
+    filters = spark.sparkContext.broadcast({r["bucket"]: bytes(r["filter"]) for r in build_filters(keys, buckets).collect()})
+
+    @F.pandas_udf("boolean")
+    def suspect(key: pd.Series) -> pd.Series:
+        values = key.to_numpy(np.int64)
+        out, bucket = np.zeros(len(values), bool), values % buckets  # as pmod: not negative
+        for b, raw in filters.value.items():
+            at = np.flatnonzero(bucket == b)
+            if len(at):
+                out[at] = BinaryFuse8.from_bytes(raw).contains(values[at].view(np.uint64))
+        return pd.Series(out)
+
+    return keyed.where(suspect("key")).select("doc_id", "text")
+
+
 ORACLE = """
 SELECT doc_id, first AS duplicate_of
 FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)

@@ -107,8 +107,9 @@ def test_exact_dedup_equals_brute_force(spark):
             first[t] = min(i, first.get(t, i))
     want = {(i, first[t]) for i, t, _ in rows if i is not None and t is not None and first[t] != i}
     docs = docs_of(spark, rows)
-    got = [(r.doc_id, r.duplicate_of) for r in exactdedup.dedup(docs, bucket_rows=20).collect()]
-    assert len(got) == len(set(got)) and set(got) == want and len(want) > 5
+    for how in ({"bucket_rows": 20}, {"filter_keys": 0}, {"batches": 1}):
+        got = [(r.doc_id, r.duplicate_of) for r in exactdedup.dedup(docs, **how).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 5
     assert exactdedup.dedup(docs.limit(0)).count() == 0
 
 
