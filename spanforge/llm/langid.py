@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm.bytescan import Tokens, mix
-from spanforge.llm.common import keep_rows, map_texts
+from spanforge.llm.common import keep_rows, map_texts, smallest_hashes
 
 TRAIN_DOCS = 800
 TRAIN_CHARS = 1200
@@ -197,13 +197,8 @@ def train(sample: list[tuple[str, str]], rounds: int = 40, seed: int = 7, bits:
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Model | None:
-    rows = (
-        docs.where("lang IS NOT NULL AND length(text) > 0")
-        .select(F.xxhash64(F.col("doc_id").cast("long")).alias("k"), F.substring("text", 1, train_chars).alias("t"), F.col("lang").alias("l"))
-        .orderBy("k", "t", "l")
-        .limit(train_docs)
-        .collect()  # train_docs rows of train_chars characters at most
-    )
+    known = docs.where("lang IS NOT NULL").select(F.col("doc_id").cast("long").alias("i"), F.col("lang").cast("string").alias("l"), F.substring("text", 1, train_chars).alias("t"))
+    rows = smallest_hashes(known, "i", train_docs, "t", "l").where("t <> ''").collect()  # train_docs rows of train_chars characters
     return train([(r.t, r.l) for r in rows])
 
 

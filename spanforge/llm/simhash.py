@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm.bytescan import Tokens, mix
-from spanforge.llm.common import cut, map_texts
+from spanforge.llm.common import cut, map_texts, smallest_hashes
 
 K = 20
 BITS, PARTS, WIDTH = 128, 8, 16
@@ -230,7 +230,7 @@ def _edges(found: DataFrame, k: int) -> DataFrame:
     """Edges ``a`` > ``b`` that connect the near copies among distinct fingerprints (``id``, ``f0``, ``f1``)."""
     spark = found.sparkSession
     n = found.count()
-    rows = found.orderBy(F.xxhash64("id")).limit(CORRELATION_ROWS).toPandas()
+    rows = smallest_hashes(found, "id", CORRELATION_ROWS).toPandas()
     order = bit_order(np.ascontiguousarray(rows[["f0", "f1"]].to_numpy(np.int64)).view(np.uint64)) if n else np.arange(BITS)
     shard_bits = min(12, max(1, (max(n, 1) // SHARD_ROWS).bit_length()))
     reach = max(0, min(WIDTH, k - PARTS + 1 + 3, 5))
