@@ -15,14 +15,19 @@ def _word(c: Column) -> Column:
     return c.rlike("^[0-9A-Za-z_]$")
 
 
-def occurrences(text: Column, needle: str, cased: bool, whole_word: bool = False, limit: int | None = None) -> Column:
+def pieces(text: Column, needle: str, cased: bool) -> Column:
+    """The text between the occurrences of ``needle``."""
+    return F.split(text if cased else F.lower(text), quoted(needle if cased else needle.lower()))
+
+
+def occurrences(parts: Column, needle: str, cased: bool, whole_word: bool = False, limit: int | None = None) -> Column:
     """Array of (start, end) in bytes of the occurrences of ``needle``, from the left, none overlapping another.
 
-    ``limit`` bounds the occurrences looked at in one text, before whole words are told.
+    ``parts`` is a column of ``pieces``, not an expression: it is used again for each occurrence.  ``limit`` bounds the
+    occurrences looked at in one text, before whole words are told.
     """
-    hay, pin = (text, needle) if cased else (F.lower(text), needle.lower())
+    pin = needle if cased else needle.lower()
     size = len(pin.encode())
-    parts = F.split(hay, quoted(pin))
     hits = F.size(parts) - 1
     if limit is not None:
         hits = F.least(hits, F.lit(limit))

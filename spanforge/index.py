@@ -16,11 +16,13 @@ from spanforge.schema import TABLES
 
 
 class Index:
-    """``tables``: a DataFrame for each of ``schema.TABLES`` (missing ones are empty)."""
+    """``tables``: a DataFrame for each of ``schema.TABLES`` (missing ones are empty), and ``nodes`` where it is stored."""
 
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], bin_width: int | None = None, cache_results: int = 64):
         self.spark, self.bin_width = spark, bin_width
         self.tables = {name: tables[name] if name in tables else spark.createDataFrame([], schema) for name, schema in TABLES.items()}
+        if "nodes" in tables:
+            self.tables["nodes"] = tables["nodes"]
         self.layers = Layers()
         self._roots: dict[int, int] | None = None
         self._results: dict[str, Result] = {}

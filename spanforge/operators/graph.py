@@ -57,21 +57,47 @@ def containment_join(outer: DataFrame, inner: DataFrame, condition: Column | Non
     return hits.union(empty)
 
 
+def normal_ranges(df: DataFrame) -> DataFrame:
+    """All empty ranges are one and the same."""
+    void = F.col("start") >= F.col("end")
+    return df.withColumns({c: F.when(void, 0).otherwise(F.col(c)) for c in ("start", "end")})
+
+
+def join_nodes(instances: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Instances with what is asked of their symbols."""
+    return instances.alias("n").join(symbols.alias("s"), F.col("n.symbol") == F.col("s.id")).select(
+        F.col("n.id").alias("instance_id"),
+        F.col("s.id").alias("symbol_id"),
+        "n.object_id",
+        "n.start",
+        "n.end",
+        "n.instance_type",
+        "s.symbol_type",
+        level_of(F.col("s.symbol_type")).alias("level"),
+        "s.project_id",
+        "n.layer",
+        "s.name",
+        "s.symbol_path",
+        "s.leaf_name",
+    )
+
+
 class Graph:
     """The tables of one request: base rows and overlay rows, restricted to the visible layers."""
 
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], visible: list[int], overlay: dict[str, list[DataFrame]] | None = None, bin_width: int | None = None):
         self.spark, self.visible, self.bin_width = spark, list(visible), bin_width
         self.tables = {}
+        self.stored_nodes = tables.get("nodes")
+        self.overlay_instances = (overlay or {}).get("symbol_instances", [])
         for name in TABLES:
             df = tables[name]
             for extra in (overlay or {}).get(name, []):
                 df = df.unionByName(extra)
             if name in LAYERED:
                 df = df.where(F.col("layer").isin(self.visible) if self.visible else F.lit(False))
-            if name in ("symbol_instances", "symbol_refs"):  # all empty ranges are one and the same
-                void = F.col("start") >= F.col("end")
-                df = df.withColumns({c: F.when(void, 0).otherwise(F.col(c)) for c in ("start", "end")})
+            if name in ("symbol_instances", "symbol_refs"):
+                df = normal_ranges(df)
             self.tables[name] = df
 
     def empty_nodes(self) -> DataFrame:
@@ -79,23 +105,16 @@ class Graph:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        """Every node with the columns that predicates use."""
-        s, i = self.tables["symbols"].alias("s"), self.tables["symbol_instances"].alias("n")
-        return i.join(s, F.col("n.symbol") == F.col("s.id")).select(
-            F.col("n.id").alias("instance_id"),
-            F.col("s.id").alias("symbol_id"),
-            "n.object_id",
-            "n.start",
-            "n.end",
-            "n.instance_type",
-            "s.symbol_type",
-            level_of(F.col("s.symbol_type")).alias("level"),
-            "s.project_id",
-            "n.layer",
-            "s.name",
-            "s.symbol_path",
-            "s.leaf_name",
-        )
+        """Every node with the columns that predicates use.
+
+        Stored ones were joined with their symbols at ingest, so only those of overlay layers are joined here.
+        """
+        if self.stored_nodes is None:
+            return join_nodes(self.tables["symbol_instances"], self.tables["symbols"])
+        out = self.stored_nodes.where(F.col("layer").isin(self.visible) if self.visible else F.lit(False))
+        for extra in self.overlay_instances:
+            out = out.unionByName(join_nodes(normal_ranges(extra), self.tables["symbols"]))
+        return out
 
     @cached_property
     def places(self) -> DataFrame:

@@ -26,7 +26,8 @@ def search(graph: Graph, needle: str, cased: bool, whole_word: bool = False, lim
     """
     t = graph.tables
     store = t["content_store"].where(F.col("content_text").isNotNull() & text.may_contain(F.col("content_text"), needle, cased))
-    hits = store.select("content_hash", F.explode(text.occurrences(F.col("content_text"), needle, cased, whole_word, None if limit is None else limit + 1)).alias("hit"))
+    parts = store.select("content_hash", text.pieces(F.col("content_text"), needle, cased).alias("parts"))
+    hits = parts.select("content_hash", F.explode(text.occurrences(F.col("parts"), needle, cased, whole_word, None if limit is None else limit + 1)).alias("hit"))
     files = t["objects"].select(F.col("id").alias("object_id"), "project_id", "content_hash")
     if project is not None:
         wanted = t["projects"].where(project).select(F.col("id").alias("project_id"))

@@ -142,6 +142,7 @@ class Run:
         self.state: dict[V.Verb, Selection | None] = {}
         self.kept: dict[V.Verb, Selection] = {}  # what forced selectors hold back
         self.activations: list[Activation] = []
+        self.settled: list[tuple] = []  # constraints that are known to change nothing
         self.deadline = time.monotonic() + timeout if timeout else None
 
     # -- state -------------------------------------------------------------
@@ -525,7 +526,8 @@ class Run:
     def constrain(self, v: V.Verb, owner: Statement, other: Selection, role: str, relation: int, context: str | None) -> bool:
         """Keep the nodes that are related to ``other``; whether any went."""
         own = self.state[v]
-        if not own.nodes.count:
+        key = (v, own.nodes, other.nodes, role)
+        if not own.nodes.count or any(all(a is b for a, b in zip(k, key)) for k in self.settled):
             return False
         nodes = own.nodes.df
         if role == USER:
@@ -545,8 +547,10 @@ class Run:
             left = left.where(rule)
         kept = Nodes.of(left)
         if kept.count == own.nodes.count:
+            self.settled.append(key)
             return False
         self.state[v] = own.with_nodes(kept)
+        self.settled.append((v, kept, other.nodes, role))
         if not kept.count and context is not None:
             owner.warnings.append(Warning_("note", f"nothing is left of the statement after what {context} asks for", v.start, v.end))
         return True

@@ -126,7 +126,7 @@ def test_occurrences_against_a_scan(spark):
     for needle in ("foo", "oo.", "\\E "):
         for cased in (True, False):
             for whole in (True, False):
-                got = {r.i: [tuple(x) for x in r.o] if r.o is not None else None for r in df.select("i", text.occurrences(F.col("t"), needle, cased, whole).alias("o")).collect()}
+                got = {r.i: [tuple(x) for x in r.o] if r.o is not None else None for r in df.select("i", text.pieces(F.col("t"), needle, cased).alias("p")).select("i", text.occurrences(F.col("p"), needle, cased, whole).alias("o")).collect()}
                 for i, t in enumerate(texts):
                     assert (got[i] or []) == ([] if t is None else occurrences(t, needle, cased, whole)), (t, needle)
 
