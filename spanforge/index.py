@@ -25,6 +25,7 @@ class Index:
             self.tables["nodes"] = tables["nodes"]
         self.layers = Layers()
         self._roots: dict[int, int] | None = None
+        self._graphs: dict[tuple, Graph] = {}
         self._results: dict[str, Result] = {}
         self._cache_results = cache_results
 
@@ -38,6 +39,7 @@ class Index:
     def changed(self) -> None:
         """Forget what was derived from the tables; to call after they have changed."""
         self._roots = None
+        self._graphs.clear()
         self._results.clear()
         self.layers.clear()
 
@@ -52,7 +54,12 @@ class Index:
 
     def graph(self, chain: Chain | None = None) -> Graph:
         chain = chain or self.chain()
-        return Graph(self.spark, self.tables, chain.visible(), self.layers.overlay(chain.layers()), self.bin_width)
+        key = tuple(chain.visible())
+        if key not in self._graphs:
+            if len(self._graphs) > 8:  # plans alone, but layers may have gone
+                self._graphs.clear()
+            self._graphs[key] = Graph(self.spark, self.tables, list(key), self.layers.overlay(chain.layers()), self.bin_width)
+        return self._graphs[key]
 
     # -- queries -----------------------------------------------------------
 

@@ -18,6 +18,8 @@ def spark():
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "2")
+        .config("spark.sql.adaptive.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.codegen.wholeStage", os.environ.get("TEST_CODEGEN", "false"))  # graphs of a few rows: compiling takes longer than running
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
