@@ -61,7 +61,7 @@ class Index:
             self._graphs[key] = Graph(self.spark, self.tables, list(key), self.layers.overlay(chain.layers()), self.bin_width)
         return self._graphs[key]
 
-    # -- queries -----------------------------------------------------------
+    # queries:
 
     def query(self, query: str, timeout: float | None = None) -> Result:
         """Nodes and edges of a query; the results of the last queries are kept until the tables change."""
@@ -97,7 +97,7 @@ class Index:
 
         return not self.graph().select(name_predicate(name)).limit(1).isEmpty()
 
-    # -- files -------------------------------------------------------------
+    # files:
 
     def source(self, object_id: int, start: int | None = None, end: int | None = None) -> bytes:
         """Bytes of a file, or of a range in it."""
@@ -129,7 +129,7 @@ class Index:
             raise KeyError(f"object {object_id} has no content")
         return row.line
 
-    # -- projects ----------------------------------------------------------
+    # projects:
 
     def projects(self) -> DataFrame:
         return tree.projects(self.graph())
@@ -167,7 +167,7 @@ class Index:
             out[r.parent].append({**r.asDict(), "name": r.path.rsplit("/", 1)[-1]})
         return out
 
-    # -- layers ------------------------------------------------------------
+    # layers:
 
     def purge_layers(self, ttl: float = 3600.0) -> set[int]:
         """Drop overlay layers unused for ``ttl`` seconds, and those that depend on them."""

@@ -134,7 +134,7 @@ class Graph:
             df = df.where(project)
         return df.join(self.tables["objects"].select(F.col("id").alias("object_id")), "object_id", "left_semi").select(*NODE)
 
-    # -- references --------------------------------------------------------
+    # references:
 
     @cached_property
     def refs(self) -> DataFrame:
@@ -208,7 +208,7 @@ class Graph:
             .select(*REF_EDGE)
         )
 
-    # -- containment -------------------------------------------------------
+    # containment:
 
     def has_children(self, parents: DataFrame, direct: bool = False) -> DataFrame:
         """Occurrences inside ``parents`` of no higher level; ``direct``: with nothing between."""
@@ -252,7 +252,7 @@ class Graph:
             (F.col("p_end").cast("long") - F.col("p_start")).alias("parent_span"),
         )
 
-    # -- derivation --------------------------------------------------------
+    # derivation:
 
     def derive_children(self, parents: DataFrame, refs: bool, has: bool, direct: bool = True) -> DataFrame:
         """Ids of the nodes that ``parents`` refer to or contain."""

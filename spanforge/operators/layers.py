@@ -106,7 +106,7 @@ class Layers:
                 out.setdefault(table, []).append(df)
         return out
 
-    # -- removal -----------------------------------------------------------
+    # removal:
 
     def doomed(self, seeds: set[int]) -> set[int]:
         """The layers that can't stay without ``seeds``: chained or based on them, or holding rows that refer to theirs."""

@@ -145,7 +145,7 @@ class Run:
         self.settled: list[tuple] = []  # constraints that are known to change nothing
         self.deadline = time.monotonic() + timeout if timeout else None
 
-    # -- state -------------------------------------------------------------
+    # state:
 
     def computed(self, s: Statement) -> bool:
         return all(v in self.state for v in s.selectors)
@@ -180,7 +180,7 @@ class Run:
         x = self.selection(s)
         return float("inf") if x is None else x.nodes.count
 
-    # -- scopes ------------------------------------------------------------
+    # scopes:
 
     def above(self, s: Statement) -> "Limits | None | object":
         if s.parent is None:
@@ -210,7 +210,7 @@ class Run:
             return None if open_ or clear else SKIP
         return limits
 
-    # -- initial selections ------------------------------------------------
+    # initial selections:
 
     def select(self, s: Statement, predicate: V.Predicate, ids: DataFrame | None, above, below, graph: Graph | None = None) -> Selection:
         graph = graph or self.graph
@@ -267,7 +267,7 @@ class Run:
             out[v] = found
         return out
 
-    # -- overlay layers ----------------------------------------------------
+    # overlay layers:
 
     def materialise(self, s: Statement, filters: V.Predicate, chain: Chain, graph: Graph) -> tuple[list[Layer], Graph]:
         """The layers of a statement, one or two for each root, and the graph with them; they join the request's chain."""
@@ -426,7 +426,7 @@ class Run:
                 df = ids.select(F.col("symbol_id").alias("to_symbol"), lit("from_object"), lit("start"), lit("end"))
                 out[project[0]].setdefault("symbol_refs", []).append(df)
 
-    # -- propagation -------------------------------------------------------
+    # propagation:
 
     def propagate(self) -> None:
         import time
@@ -583,7 +583,7 @@ class Run:
                 instances = _union(edges).join(now.select(F.col("instance_id").alias("parent_instance")), "parent_instance", "left_semi").select(F.col("child_instance").alias("instance_id"))
         return symbols, instances
 
-    # -- results -----------------------------------------------------------
+    # results:
 
     def execute(self) -> Result:
         from spanforge.operators import results

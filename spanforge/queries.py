@@ -60,7 +60,7 @@ def ids(df: DataFrame) -> DataFrame:
     return df.select("instance_id")
 
 
-# -- names and types ---------------------------------------------------------
+# names and types:
 
 
 def selection(name: str, predicate: Callable[[], object], where: str, project: str | None = None) -> None:
@@ -98,7 +98,7 @@ def _(i, spark, sf_dir):
     return i.graph().select(V.name_predicate("order_5")).limit(1).agg((F.count("*") > 0).alias("found"))
 
 
-# -- joins -------------------------------------------------------------------
+# joins:
 
 _ORDERS = ("leaf ILIKE 'order\\_1%' ESCAPE '\\'", lambda: names.Glob("order_1*").predicate(True, True))
 _PARTS = ("list_contains(path, 'Brand7')", lambda: V.compound_predicate("Brand#7"))
@@ -169,7 +169,7 @@ def _(i, spark, sf_dir):
     return ids(g.select(_ORDERS[1]())).join(ids(g.select(F.col("leaf_name").endswith("2"))), "instance_id", "left_semi")
 
 
-# -- queries in the language --------------------------------------------------
+# queries in the language:
 
 
 def asked(name: str, text_: str, sql: str | None) -> None:
@@ -263,7 +263,7 @@ def _(i, spark, sf_dir):
     return similarity.suggest(i.tables["symbols"].where(F.col("symbol_type") == DIRECTORY), "NATION5")
 
 
-# -- content -----------------------------------------------------------------
+# content:
 
 
 def _search_sql(needle: str, cased: bool, whole: bool, tail: str = "SELECT object_id, \"start\", \"end\" FROM hits") -> str:
@@ -333,7 +333,7 @@ def _(i, spark, sf_dir):
     return search.resolve(i.graph(), "5.txt").select("object_id", "path")
 
 
-# -- trees and projects -------------------------------------------------------
+# trees and projects:
 
 _ENTRIES = f", entries AS (SELECT project_id, id AS symbol_id, name AS path, symbol_type AS kind, CASE WHEN regexp_replace(name, '/[^/]*$', '') = '' THEN '/' ELSE regexp_replace(name, '/[^/]*$', '') END AS parent FROM g_symbols WHERE symbol_type IN ({DIRECTORY}, {FILE}) AND name <> '/')"
 
@@ -366,7 +366,7 @@ def _(i, spark, sf_dir):
     return tree.projects(i.graph()).select("id", "file_count", "symbol_count")
 
 
-# -- layers and uploads -------------------------------------------------------
+# layers and uploads:
 
 
 @query(

@@ -100,4 +100,4 @@ def to_markdown(query: str, graph: dict, sources: dict[str, bytes], projection:
         out += [f"- `{node['label']}` {place(node)}", *source(node)]
         kids = [(kind, by_id[t]) for t, kind in below.get(node["id"], {}).items() if t in by_id]
         out += [f"  {kind} `{n['label']}` {place(n)}" for kind, n in sorted(kids, key=lambda k: (k[0] != "→", order(k[1])))]
-    return checked("\n".join(out) + "\n")
+    return checked("".join(f"{line}\n" for line in out))

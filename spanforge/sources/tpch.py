@@ -107,7 +107,7 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def _path_sql(name: str, dots: bool) -> str:
     flat = name if dots else f"replace({name}, '.', '_')"
     cleaned = f"regexp_replace({flat}, '[*\\[\\]{{}},@\\- ()]', '', 'g')"
-    return f"list_filter(list_transform(string_split_regex({cleaned}, '[./:]'), lambda t: regexp_replace(t, '[^A-Za-z0-9_]', '', 'g')), lambda t: t <> '')"
+    return f"list_filter(list_transform(string_split_regex({cleaned}, '[./:]'), lambda t: regexp_replace(t, '[^0-9A-Za-z_]', '', 'g')), lambda t: t <> '')"
 
 
 def _sid(project: str, local: str) -> str:

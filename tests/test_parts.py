@@ -20,7 +20,7 @@ from spanforge.storage import local, settle
 from spanforge.streaming import upload
 from tests import fixtures
 
-# -- parser -------------------------------------------------------------------
+# parser:
 
 
 @pytest.mark.parametrize(
@@ -51,10 +51,10 @@ def test_syntax_errors(query):
         parse(query)
 
 
-# -- names --------------------------------------------------------------------
+# names:
 
 NAMES = [
-    ("(*k8s.io/kubernetes/pkg/kubelet.Kubelet).Run", FUNCTION, ["k8s", "io", "kubernetes", "pkg", "kubelet", "Kubelet", "Run"]),
+    ("(*k8s.io/kube/pkg/kubelet.Kubelet).Run", FUNCTION, ["k8s", "io", "kube", "pkg", "kubelet", "Kubelet", "Run"]),
     ("/src/main.go", FILE, ["src", "main_go"]),
     ("/", DIRECTORY, ["unknown"]),
     ("a::b.c-d", FUNCTION, ["a", "b", "cd"]),
@@ -102,7 +102,7 @@ def test_word_similarity():
     assert similarity.word_similarity("abc", "xyz") == 0.0
 
 
-# -- content ------------------------------------------------------------------
+# content:
 
 
 def occurrences(hay, needle, cased, whole):
@@ -157,7 +157,7 @@ def test_files(spark):
     assert index.exists("fn_basic") and not index.exists("fn_basics") and "fn_basic" in index.suggest("fn_basics")
 
 
-# -- trees and projects -------------------------------------------------------
+# trees and projects:
 
 
 def test_tree(spark):
@@ -183,7 +183,7 @@ def test_compact_chain(spark):
     assert {(r.parent, r.child) for r in tree.compactable(b.index(spark).graph()).collect()} == {("/a", "/a/b"), ("/a/b", "/a/b/c")}
 
 
-# -- joins against brute force ------------------------------------------------
+# joins against brute force:
 
 
 def test_joins_of_random_forests(spark):
@@ -238,7 +238,7 @@ def test_joins_of_random_forests(spark):
         assert pick(g.has_children(chosen)) == sorted((p[0], c[0]) for p, c in pairs)
 
 
-# -- results ------------------------------------------------------------------
+# results:
 
 
 def test_shown_results(spark):
@@ -250,7 +250,7 @@ def test_shown_results(spark):
     assert few["truncated"] and few["total_symbols"] == 3 and len(few["nodes"]) == 1 and not few["edges"]
     page = index.ask('"foo" {}', form="markdown", timeout=60)
     assert "`foo` /main.c:3" in page and "→ `foo.bar`" in page
-    page = index.ask('loc("main.c", "2", project="test_project")', form="markdown", projection="body", timeout=60)
+    page = index.ask('loc("main.c", "2", project="alpha_proj")', form="markdown", projection="body", timeout=60)
     assert "/main.c:2" in page
     with pytest.raises(render.TooLarge):
         render.checked("x" * (render.MAX_BYTES + 1))
@@ -272,7 +272,7 @@ def test_large_sets_are_checkpointed(spark):
     assert n == 50 and df.count() == 50
 
 
-# -- uploads ------------------------------------------------------------------
+# uploads:
 
 
 def chunks(spark):
