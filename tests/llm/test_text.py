@@ -215,3 +215,71 @@ def test_katz_equals_brute_force(spark, vocabulary, min_count, hot):
         assert got[i].n_tokens == n and got[i].logprob == pytest.approx(s, rel=2e-5, abs=1e-9)
         assert got[i].perplexity == (pytest.approx(math.exp(-s / n), rel=1e-4) if n else None)
     assert katz.lm_score(docs_of(spark, texts).limit(0), vocabulary).count() == 0
+
+
+def whole_katz_by_force(texts, order, k=katz.K):
+    """All orders, all words and all counts, with a backoff weight for each context of each order."""
+    seqs = [[int(h) for h in Tokens([t]).hash] for t in texts]
+    uni = Counter(w for s in seqs for w in s)
+    lower = {(): {w: c / sum(uni.values()) for w, c in uni.items()}}
+
+    def below(ctx, w):
+        if not ctx:
+            return lower[()][w]
+        p, bow = lower[ctx]
+        return p[w] if w in p else bow * below(ctx[1:], w)
+
+    for m in range(2, order + 1):
+        after = {}
+        for s in seqs:
+            padded = ["<s>"] * (m - 1) + s
+            for j, w in enumerate(s):
+                after.setdefault(tuple(padded[j : j + m - 1]), Counter())[w] += 1
+        n = np.array([0] + [sum(c == r for a in after.values() for c in a.values()) for r in range(1, k + 2)])
+        d = katz.discounts(n, k)
+        level = {}
+        for ctx, a in after.items():
+            c = sum(a.values())
+            p = {w: d[min(r, k + 1)] * r / c for w, r in a.items()}
+            seen, rest = sum(p.values()), 1 - sum(below(ctx[1:], w) for w in a)
+            if len(a) == len(uni):
+                level[ctx] = ({w: x / seen for w, x in p.items()}, 0.0)
+                continue
+            if seen > 1 - 1e-12:
+                p = {w: x * c / (c + 1) for w, x in p.items()}
+            level[ctx] = (p, (1 - sum(p.values())) / rest)
+        lower.update(level)
+    if len(uni) < 100:
+        for ctx in list(lower)[1:]:
+            assert sum(below(ctx, w) for w in uni) == pytest.approx(1)
+    pad = ["<s>"] * (order - 1)
+    return [(len(s), sum(math.log(below(tuple((pad + s)[j : j + order - 1]), w)) for j, w in enumerate(s))) for s in seqs]
+
+
+def assert_scores(rows, want):
+    got = {r.doc_id: r for r in rows}
+    assert len(got) == len(want)
+    for i, (n, s) in enumerate(want):
+        assert got[i].n_tokens == n and got[i].logprob == pytest.approx(s, rel=2e-5, abs=1e-9)
+        assert got[i].perplexity == (pytest.approx(math.exp(-s / n), rel=1e-4) if n else None)
+
+
+@pytest.mark.parametrize("order,types", [(2, 60), (2, 2), (3, 60), (3, 3), (4, 5)])
+def test_whole_katz_equals_brute_force(spark, order, types):
+    rng = random.Random(order)
+    vocab = ["".join(rng.choice("abcde") for _ in range(6)) for _ in range(types)]
+    texts = [" ".join(vocab[min(types - 1, int(rng.expovariate(0.3)))] for _ in range(rng.randint(1, 80))) for _ in range(60)]
+    texts += ["", None, "   ", texts[0], vocab[0], f"{vocab[1]} " * 500]
+    assert_scores(katz.score(docs_of(spark, texts), order, bucket_tokens=100).collect(), whole_katz_by_force(texts, order))
+    assert katz.score(docs_of(spark, texts).limit(0), order).count() == 0
+
+
+def test_no_word_of_a_large_vocabulary_is_pooled(spark, tmp_path):
+    from spanforge.llm.queries import op10_lm_scoring
+
+    rng = random.Random(5)
+    rare = [f"r{i}" for i in range(66_000)]
+    texts = [" ".join(rare[i : i + 600]) for i in range(0, 66_000, 600)] + [" ".join(rng.choice("abcdefgh") for _ in range(200)) for _ in range(20)]
+    texts += [" ".join(["r5", "b"] * 3)]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    assert_scores(op10_lm_scoring(spark, str(tmp_path)).collect(), whole_katz_by_force(texts, katz.ORDER))
