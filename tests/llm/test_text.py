@@ -283,3 +283,14 @@ def test_no_word_of_a_large_vocabulary_is_pooled(spark, tmp_path):
     texts += [" ".join(["r5", "b"] * 3)]
     docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
     assert_scores(op10_lm_scoring(spark, str(tmp_path)).collect(), whole_katz_by_force(texts, katz.ORDER))
+
+
+def test_lm_scoring_is_a_trigram_model_with_all_counts(spark, smallest):
+    from spanforge.llm.queries import op10_lm_scoring
+
+    docs = sorted((r.doc_id, r.text) for r in read(spark, smallest, "documents").collect())
+    want = whole_katz_by_force([t for _, t in docs], 3)
+    got = {r.doc_id: r for r in op10_lm_scoring(spark, smallest).collect()}
+    assert len(got) == len(docs)
+    for (i, _), (n, s) in zip(docs, want):
+        assert got[i].n_tokens == n and got[i].logprob == pytest.approx(s, rel=2e-5, abs=1e-9)
