@@ -29,8 +29,6 @@ from spanforge.llm.common import cut
 
 WINDOW = 2048
 BLOCK_PIECES = 40_000
-#: rounds over the underfull bins; a round without an improvement ends the search earlier
-ROUNDS = 6
 
 
 def best_fit(sizes: list[int], window: int) -> list[list[int]]:
@@ -57,86 +55,105 @@ def best_fit(sizes: list[int], window: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], sizes: list[int], window: int, rounds: int = ROUNDS) -> list[list[int]]:
+def local_search(bins: list[list[int]], sizes: list[int], window: int, rounds: int | None = None) -> list[list[int]]:
     """Moves and exchanges between underfull bins that increase the sum of squared fills; drops bins that become empty.
 
-    A source bin's pieces are offered to all fuller underfull bins, from the emptiest source on.  Receivers are found by
-    their room through a table of sizes, so a round costs about the number of pieces in underfull bins.
+    With ``rounds`` None it ends when no move, one-for-one or two-for-one exchange is left that would.  What a source
+    gives is looked for among all receivers by its difference: a piece of size t goes back for pieces of size g where
+    the receiver has room for g - t and ends fuller than the source was.  For each t only the fullest receiver with that
+    room matters, so it is found by a bisect, whatever the number of bins.
     """
     fill = [sum(sizes[i] for i in b) for b in bins]
-    for _ in range(rounds):
+    under = {b for b in range(len(bins)) if 0 < fill[b] < window}
+    rooms: list[tuple[int, int]] = []  # (room, bin) of underfull bins
+    having: dict[int, list[tuple[int, int]]] = {}  # the same, of the underfull bins with a piece of a size
+    kinds: list[int] = []  # sizes of pieces that some underfull bin has
+
+    def put(b: int) -> None:
+        if not 0 < fill[b] < window:
+            return
+        under.add(b)
+        insort(rooms, (window - fill[b], b))
+        for t in {sizes[i] for i in bins[b]}:
+            if t not in having:
+                having[t] = []
+                insort(kinds, t)
+            insort(having[t], (window - fill[b], b))
+
+    def take(b: int) -> None:
+        if b not in under:
+            return
+        under.discard(b)
+        rooms.pop(bisect_left(rooms, (window - fill[b], b)))
+        for t in {sizes[i] for i in bins[b]}:
+            at = having[t]
+            at.pop(bisect_left(at, (window - fill[b], b)))
+            if not at:
+                del having[t]
+                kinds.pop(bisect_left(kinds, t))
+
+    def fullest(at: list[tuple[int, int]], d: int, src: int) -> int | None:
+        """The fullest bin but ``src`` with room for ``d``, if it would be fuller than ``src`` is."""
+        k = bisect_left(at, (d, -1))
+        if k < len(at) and at[k][1] == src:
+            k += 1
+        return at[k][1] if k < len(at) and fill[at[k][1]] + d > fill[src] else None
+
+    def change(src: int, give: tuple[int, ...], to: int, back: int | None) -> None:
+        take(src)
+        take(to)
+        for x in give:
+            bins[src].remove(x)
+            bins[to].append(x)
+        if back is not None:
+            i = next(i for i in bins[to] if sizes[i] == back and i not in give)
+            bins[to].remove(i)
+            bins[src].append(i)
+        fill[src] = sum(sizes[i] for i in bins[src])
+        fill[to] = sum(sizes[i] for i in bins[to])
+        put(src)
+        put(to)
+
+    def improve(src: int) -> bool:
+        own: dict[int, list[int]] = {}
+        for i in sorted(bins[src]):
+            own.setdefault(sizes[i], []).append(i)
+        falling = sorted(own, reverse=True)
+        for s in falling:
+            to = fullest(rooms, s, src)
+            if to is not None:
+                change(src, (own[s][0],), to, None)
+                return True
+        gives = {s: (own[s][0],) for s in falling}
+        for k, s in enumerate(falling):
+            for t in falling[k:]:
+                if s != t or len(own[s]) > 1:
+                    gives.setdefault(s + t, (own[s][0], own[t][-1]))
+        most = rooms[-1][0]
+        for g in sorted(gives, reverse=True):
+            for t in kinds[bisect_left(kinds, g - most) : bisect_left(kinds, g)]:
+                to = fullest(having[t], g - t, src)
+                if to is not None:
+                    change(src, gives[g], to, t)
+                    return True
+        return False
+
+    for b in sorted(under):
+        under.discard(b)
+        put(b)
+    done = 0
+    while rounds is None or done < rounds:
+        done += 1
         better = False
-        under = sorted((b for b in range(len(bins)) if 0 < fill[b] < window), key=lambda b: (fill[b], b))
-        rooms = sorted((window - fill[b], b) for b in under)
-        where: dict[int, list[tuple[int, int]]] = {}  # size of a piece: (bin, piece) in underfull bins
-        for b in under:
-            for i in bins[b]:
-                where.setdefault(sizes[i], []).append((b, i))
-        kinds = sorted(where)
-
-        def change(b: int, new: int) -> None:
-            at = bisect_left(rooms, (window - fill[b], b))
-            if at < len(rooms) and rooms[at] == (window - fill[b], b):
-                rooms.pop(at)
-            fill[b] = new
-            if 0 < new < window:
-                insort(rooms, (window - new, b))
-
-        def exchange(src: int, give: tuple[int, ...], limit: int = 64) -> bool:
-            """Give one or two pieces of src for one smaller piece of a fuller bin with room for the difference."""
-            g = sum(sizes[i] for i in give)
-            k = bisect_left(kinds, g) - 1
-            tried = 0
-            while k >= 0 and tried < limit:
-                for b, i in where[kinds[k]]:
-                    tried += 1
-                    d = g - kinds[k]
-                    if b != src and i in bins[b] and fill[b] + d <= window and fill[b] + d > fill[src]:
-                        for x in give:
-                            bins[src].remove(x)
-                            bins[b].append(x)
-                            where.setdefault(sizes[x], []).append((b, x))
-                        bins[b].remove(i)
-                        bins[src].append(i)
-                        where[kinds[k]].append((src, i))
-                        change(b, fill[b] + d)
-                        change(src, fill[src] - d)
-                        return True
-                    if tried >= limit:
-                        break
-                k -= 1
-            return False
-
-        for src in under:
-            if not 0 < fill[src] < window:
-                continue
-            for i in sorted(bins[src], key=lambda i: (-sizes[i], i)):
-                if i not in bins[src]:
-                    continue
-                at = bisect_left(rooms, (sizes[i], -1))
-                while at < len(rooms) and rooms[at][1] == src:
-                    at += 1
-                if at < len(rooms) and fill[rooms[at][1]] + sizes[i] > fill[src]:
-                    b = rooms[at][1]
-                    bins[src].remove(i)
-                    bins[b].append(i)
-                    where[sizes[i]].append((b, i))
-                    change(b, fill[b] + sizes[i])
-                    change(src, fill[src] - sizes[i])
-                    better = True
-                elif exchange(src, (i,)):
-                    better = True
-            own = sorted(bins[src], key=lambda i: (-sizes[i], i))
-            for x, y in zip(own, own[1:]):
-                if x in bins[src] and y in bins[src] and exchange(src, (x, y)):
-                    better = True
-                    break
+        for src in sorted(under, key=lambda b: (fill[b], b)):
+            while src in under and improve(src):
+                better = True
         if not better:
             break
     return [b for b in bins if b]
 
 
-def pack(sizes: list[int], window: int, rounds: int = ROUNDS) -> list[list[int]]:
+def pack(sizes: list[int], window: int, rounds: int | None = None) -> list[list[int]]:
     """Bins of indexes into ``sizes`` (falling, none above the window)."""
     full = [[i] for i, s in enumerate(sizes) if s == window]
     rest = sizes[len(full) :]
@@ -147,7 +164,7 @@ def pack(sizes: list[int], window: int, rounds: int = ROUNDS) -> list[list[int]]
 OUT = "doc_id long, piece int, first_token long, n_tokens int, bin_id long, bin_offset int"
 
 
-def best_fit_packing(docs: DataFrame, window: int = WINDOW, block_pieces: int = BLOCK_PIECES, rounds: int = ROUNDS) -> DataFrame:
+def best_fit_packing(docs: DataFrame, window: int = WINDOW, block_pieces: int = BLOCK_PIECES, rounds: int | None = None) -> DataFrame:
     """Each piece: ``doc_id``, ``piece``, ``first_token`` in its document, ``n_tokens``, ``bin_id``, ``bin_offset``."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_]"))
     sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.cast("long").alias("n")).where("n > 0"))

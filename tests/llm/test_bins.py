@@ -88,6 +88,30 @@ def test_local_search_never_loses(seed):
     assert square > 0
 
 
+def improvements(bins, sizes, window):
+    """Moves, one-for-one and two-for-one exchanges between underfull bins that increase the sum of squared fills."""
+    fill = [sum(sizes[i] for i in b) for b in bins]
+    under = [b for b in range(len(bins)) if fill[b] < window]
+    for src in under:
+        own = [sizes[i] for i in bins[src]]
+        gives = set(own) | {x + y for k, x in enumerate(own) for y in own[k + 1 :]}
+        for to in under:
+            if to != src:
+                for g in gives:
+                    for t in ({0} if g in own else set()) | {sizes[i] for i in bins[to]}:
+                        if 0 < g - t <= window - fill[to] and fill[to] + g - t > fill[src]:
+                            yield src, to, g, t
+
+
+@pytest.mark.parametrize("n,low,high,window", [(200, 1, 99, 100), (600, 300, 900, 2048), (300, 20, 60, 128), (400, 30, 45, 100)])
+def test_local_search_leaves_no_improvement(n, low, high, window):
+    rng = random.Random(n)
+    sizes = sorted((rng.randint(low, high) for _ in range(n)), reverse=True)
+    after = packing.local_search(packing.best_fit(sizes, window), sizes, window)
+    assert sorted(i for b in after for i in b) == list(range(n))
+    assert next(improvements(after, sizes, window), None) is None
+
+
 def test_local_search_exchanges_and_empties_bins():
     assert len(packing.local_search([[0], [1]], [6, 4], 10)) == 1  # a move
     after = packing.local_search([[0, 1], [2, 3]], [7, 5, 2, 2], 10)  # [7, 2], [5, 2] or better: never below
