@@ -153,6 +153,22 @@ def _(i, spark, sf_dir):
     g = i.graph()
     return _refs(g.edges_between(g.select(_ORDERS[1]() | _PARTS[1]())))
 
+# the same over all code:
+_WHOLE = (f"symbol_type IN ({FUNCTION}, {DATA}, {TYPE})", lambda: F.col("symbol_type").isin(FUNCTION, DATA, TYPE))
+join("refs_children_all", _WHOLE, _REFS + _REF_CHILDREN, lambda g, n: _refs(g.ref_children(n)))
+join("refs_parents_all", _WHOLE, _REFS + f'FROM (SELECT * FROM nodes WHERE {{c}}) c JOIN g_refs r ON c.symbol_id = r.to_symbol JOIN nodes p ON {contains("p", "r")}', lambda g, n: _refs(g.ref_parents(n)))
+join("has_parents_all", _WHOLE, _HAS + _HAS_PARENTS, lambda g, n: _has(g.has_parents(n)))
+join("innermost_parent_all", _WHOLE, _HAS + _HAS_PARENTS + f" WHERE {_NOT_INNERMOST}", lambda g, n: _has(g.has_parents(n, innermost=True)))
+
+
+@query(
+    "edges_between_all",
+    f', chosen AS (SELECT * FROM nodes WHERE {_WHOLE[0]}) SELECT p.instance_id AS from_instance, min(c.instance_id) AS to_instance, r.id AS ref_id FROM chosen p JOIN g_refs r ON {contains("p", "r")} JOIN chosen c ON c.symbol_id = r.to_symbol AND c.instance_id <> p.instance_id GROUP BY 1, 3',
+)
+def _(i, spark, sf_dir):
+    g = i.graph()
+    return _refs(g.edges_between(g.select(_WHOLE[1]())))
+
 
 @query(
     "tightest_parent",
@@ -312,6 +328,12 @@ def _(i, spark, sf_dir):
     return files.select("object_id", text.line_range(F.col("content"), 2).alias("r")).where("r IS NOT NULL").select("object_id", "r.start", "r.end")
 
 
+@query("loc_line_all", f"SELECT CAST(doc_id + {tpch.DOCUMENT_OBJECTS} AS INTEGER) AS object_id, CAST(strlen(string_split(text, chr(10))[1]) + 1 AS INTEGER) AS \"start\", CAST(strlen(string_split(text, chr(10))[1]) + 1 + strlen(string_split(text, chr(10))[2]) AS INTEGER) AS \"end\" FROM documents WHERE len(string_split(text, chr(10))) >= 2", views=False)
+def _(i, spark, sf_dir):
+    files = search.contents(i.graph()).where("content IS NOT NULL")
+    return files.select("object_id", text.line_range(F.col("content"), 2).alias("r")).where("r IS NOT NULL").select("object_id", "r.start", "r.end")
+
+
 @query("slice_source", f"SELECT CAST(doc_id + {tpch.DOCUMENT_OBJECTS} AS INTEGER) AS object_id, hex(array_slice(encode(text), 11, 50)) AS bytes FROM documents", views=False)
 def _(i, spark, sf_dir):
     files = search.contents(i.graph()).where("content IS NOT NULL")

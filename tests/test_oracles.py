@@ -27,3 +27,9 @@ def test_oracle(spark, smallest, duck, name):
     assert sorted(got.columns) == columns
     rows = lambda df: sorted(tuple(str(v) for v in r) for r in df[columns].astype(object).itertuples(index=False))
     assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("name", ["refs_children", "refs_parents", "has_parents", "innermost_parent", "edges_between", "loc_line"])
+def test_whole_tables_go_beyond_the_selection(duck, name):
+    rows = lambda sql: len(duck.execute(sql).df())
+    assert rows(queries.ORACLES[f"{name}_all"]) > rows(queries.ORACLES[name]) > 0
