@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -12,16 +13,53 @@ LOCAL_ROWS = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where it is unset, as in tests."""
+    """``spark.checkpoint.dir``; where it is unset, the checkpoint folder of the context, or a temporary one on a local master.
+
+    A cluster without either is an error: a folder of the driver's machine would be lost to the executors.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spanforge-"))
     return sc.getCheckpointDir()
 
 
+def session_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; the JVM deletes it when it ends."""
+    sc = spark.sparkContext
+    at = f"{shared_dir(spark)}/spanforge-{sc.applicationId}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(at)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return at
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the session's folder that nothing uses yet."""
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, at: str) -> None:
+    """Delete a folder of this session that nobody reads any more."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, name: str = "cut") -> DataFrame:
+    """``df`` computed once into a table of the shared folder: its lineage ends, and lost executors cost nothing."""
+    spark = df.sparkSession
+    at = fresh_path(spark, name)
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def local(spark: SparkSession, table, schema: "str | T.StructType") -> DataFrame:
     """A local relation from an Arrow table or a list of tuples."""
     import pyarrow as pa
@@ -35,10 +73,12 @@ def local(spark: SparkSession, table, schema: "str | T.StructType") -> DataFrame
 
 
 def settle(df: DataFrame, limit: int = LOCAL_ROWS) -> tuple[DataFrame, int]:
-    """The same rows without their lineage, and their number: local up to ``limit`` rows, else a checkpoint."""
+    """The same rows without their lineage, and their number: computed once into a table of the shared folder.
+
+    Up to ``limit`` rows are then kept as a local relation.
+    """
     head = df.limit(limit + 1).toArrow()
     if head.num_rows <= limit:
         return local(df.sparkSession, head, df.schema), head.num_rows
-    shared_dir(df.sparkSession)
-    kept = df.checkpoint(eager=True)
+    kept = written(df, "set")
     return kept, kept.count()
