@@ -2,32 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.llm.bytescan import slices
+from spanforge.storage import written
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spanforge-"))
-    return sc.getCheckpointDir()
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder, once, and read it from there: its lineage ends, and lost executors cost nothing."""
+    return written(df)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it from there: its lineage ends, and lost executors cost nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def fresh(columns: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that none of ``columns`` has (case aside)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,10 +54,6 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch, list], pa.RecordBatch
     return df.mapInArrow(run, schema)
 
 
-def ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-
 def keep_rows(df: DataFrame, mask: Callable[[list], np.ndarray], column: str = "text", budget: int = 2 << 20) -> DataFrame:
     """The rows of ``df`` whose text ``mask`` keeps, all columns as they were (no shuffle)."""
 
@@ -67,16 +63,40 @@ def keep_rows(df: DataFrame, mask: Callable[[list], np.ndarray], column: str = "
     return map_texts(df, fn, df.schema, column, budget)
 
 
-def smallest_hashes(df: DataFrame, key: str, n: int, *ties: str) -> DataFrame:
-    """The n rows of the smallest hashes of ``key`` (all, if there are no more).
+def smallest_hashes(df: DataFrame, n: int, *columns: str, by: str | None = None) -> DataFrame:
+    """The n rows of the smallest hashes of ``columns`` (all, if there are no more); n of each value of ``by``, if given.
 
-    Rows are counted first and cut by the hash that n of them are below, so what is sorted is bounded by n.
+    Rows are counted by the top 12 bits of the hash first and cut at the cell that n of them need, so that about n rows are sorted.
+    Equal rows have one hash: of those, as many stay as are needed.
+    """
+    at, group, rank, last = fresh(df.columns, "at", "group", "rank", "last")
+    hashed = df.withColumn(at, F.xxhash64(*columns)).withColumn(group, F.col(by) if by else F.lit(0))
+    cell = F.shiftright(at, 52)
+    seen = hashed.groupBy(group, cell.alias(at)).count()
+    upto = Window.partitionBy(group).orderBy(at)
+    before = F.coalesce(F.sum("count").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    border = seen.withColumn(rank, before).where(F.col(rank) < n).groupBy(group).agg(F.max(at).alias(last))  # a row for each value of `by`
+    own = hashed.join(F.broadcast(border.withColumnRenamed(group, rank)), F.col(group).eqNullSafe(F.col(rank)), "inner").where(cell <= F.col(last)).drop(rank, last)
+    first = Window.partitionBy(group).orderBy(at, *columns)
+    return own.withColumn(rank, F.row_number().over(first)).where(F.col(rank) <= n).drop(rank, at, group)
+
+
+def join_one(left: DataFrame, right: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join with a ``right`` that has one row for each ``key`` and the number of its rows on the left (``size``).
+
+    Keys of more than a thousandth of the rows, a thousand at most, are broadcast: a key that a third of all rows have
+    isn't gathered in one task.  The others are shuffled.
     """
-    total = df.count()
-    if total > n:
-        share = min(1.0, (n + 6 * n**0.5 + 50) / total)
-        df = df.where(F.xxhash64(key) <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63)))
-    return df.orderBy(F.xxhash64(key), key, *ties).limit(n)
+    least = max(total // 1000, 1)
+    hot = right.where(F.col(size) > least)
+    mark, *_ = fresh([*left.columns, *right.columns], "hot")
+    few = hot.select(key).withColumn(mark, F.lit(True))
+    if few.isEmpty():
+        return left.join(right, key)
+    marked = left.join(F.broadcast(few), key, "left")
+    spread = marked.where(F.col(mark)).drop(mark).join(F.broadcast(hot), key)
+    rest = marked.where(F.col(mark).isNull()).drop(mark).join(right.where(F.col(size) <= least), key)
+    return spread.unionByName(rest)
 
 
 def lists(values: np.ndarray, count: np.ndarray, kind: pa.DataType) -> pa.Array:

@@ -1,26 +1,33 @@
 """Operator 9, exact dedup: incoming texts against immutable snapshots.
 
-A snapshot is a table of digests in buckets; each bucket has a static
-binary-fuse filter (8-bit fingerprints, about 9 bits a key, 1 in 256 false
+A snapshot is a table of distinct digests, stored by bucket; each bucket has a
+static binary-fuse filter (8-bit fingerprints, about 9 bits a key, 1 in 256 false
 positives), built once and never changed.  Incoming digests go to their bucket
-and are screened by the filter of every snapshot; only positives join the exact
-digests, and then the texts themselves are compared byte for byte.  Texts that
-occur more than once in the incoming batch are grouped by their own bytes, apart
-from the snapshots.  After that the batch becomes a snapshot.
-
-``dedup`` ingests the whole table as ``batches`` batches by ranges of ``doc_id``,
-oldest first; each row is screened against all snapshots before it.
-
-Cases: null texts and null ids are never duplicates.  Empty texts are equal to
-each other.  Rows that repeat a ``doc_id`` with the same text are one document.
-The document of the smallest id stays.  Digest collisions are told apart by the
-byte check.  An empty table gives an empty result.  Other columns are ignored.
+and are screened by the filter of every snapshot before; only positives join the
+exact digests of their bucket, and then the texts themselves are compared byte
+for byte.  Texts that occur more than once in the incoming batch are grouped
+apart from the snapshots.  After that the batch becomes a snapshot.
+
+``dedup`` ingests the whole table as ``batches`` batches by equal ranges of
+``doc_id``, oldest first; each row is screened against all snapshots before it.
+Digests are counted before they are bucketed, and the bytes of equal texts are
+compared by partial aggregation, so a text that a third of all rows have is never
+gathered: its rows get their answer by a broadcast (``common.join_one``).  Texts
+whose digests collide are told apart by a join on the bytes.
+
+Up to ``filter_keys`` suspected digests, a filter of them goes to every task and
+only suspected texts move; beyond, all texts are joined with the suspects' keys.
+The result is the same.
+
+Cases: ``doc_id`` is an integer of up to 64 bits.  Null texts and null ids are
+never duplicates.  Empty texts are equal to each other.  Rows that repeat a
+``doc_id`` with the same text are one document; with other texts, each is judged.
+The document of the smallest id stays.  An empty table gives an empty result.
+Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,13 +35,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm.bytescan import mix
-from spanforge.llm.common import cut, shared_dir
+from spanforge.llm.common import cut, join_one
+from spanforge.storage import fresh_path
 
 BATCHES = 3
 #: digests in a bucket
 BUCKET_ROWS = 100_000
 #: keys of suspects up to which their filter is sent to every task (9 bits each)
 FILTER_KEYS = 20_000_000
+#: bytes of SHA-256 that a digest has
+DIGEST = 16
 
 
 class BinaryFuse8:
@@ -109,13 +119,22 @@ class BinaryFuse8:
         return cls(seed, segment, np.frombuffer(raw, np.uint8, offset=16))
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``digest`` (128 bits of SHA-256), ``key`` (64 bits of it)."""
-    digest = F.substring(F.unhex(F.sha2("text", 256)), 1, 16)
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"))
+def _digest(text: str, size: int) -> F.Column:
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, size)
+
+
+def digests(docs: DataFrame, size: int = DIGEST) -> DataFrame:
+    """``doc_id``, ``digest`` (``size`` bytes of SHA-256), ``key`` (64 bits of it)."""
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), _digest("text", size).alias("digest"))
     return rows.withColumn("key", F.xxhash64("digest"))
 
 
+def batch_of(first: int, last: int, batches: int) -> F.Column:
+    """Which of ``batches`` equal ranges of ids a ``doc_id`` is in, in exact integers."""
+    step = -(-(last - first + 1) // batches)
+    return F.expr(f"CAST((CAST(doc_id AS DECIMAL(20, 0)) - ({first}BD)) DIV {step}BD AS INT)")
+
+
 def build_filters(rows: DataFrame, buckets: int) -> DataFrame:
     """``bucket``, ``filter`` of a snapshot's digests; a bucket without digests has none."""
 
@@ -123,11 +142,11 @@ def build_filters(rows: DataFrame, buckets: int) -> DataFrame:
         keys = np.asarray(table.column("key")).astype(np.int64).view(np.uint64)
         return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "filter": pa.array([BinaryFuse8.build(keys).to_bytes()], pa.binary())})
 
-    return rows.select(F.pmod("key", F.lit(buckets)).cast("int").alias("bucket"), "key").groupBy("bucket").applyInArrow(build, "bucket int, filter binary")
+    return rows.select("bucket", "key").groupBy("bucket").applyInArrow(build, "bucket int, filter binary")
 
 
-def screen(rows: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
-    """The rows (``doc_id``, ``digest``) whose key some snapshot's filter of its bucket has."""
+def screen(rows: DataFrame, filters: DataFrame) -> DataFrame:
+    """The digests (``bucket``, ``digest``) whose key some snapshot's filter of their bucket has."""
 
     def probe(own: pa.Table, known: pa.Table) -> pa.Table:
         keys = np.asarray(own.column("key")).astype(np.int64).view(np.uint64)
@@ -135,59 +154,66 @@ def screen(rows: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
         for raw in known.column("filter"):
             if len(keys):
                 hit |= BinaryFuse8.from_bytes(raw.as_py()).contains(keys)
-        return own.select(["doc_id", "digest"]).filter(pa.array(hit))
+        return own.select(["bucket", "digest"]).filter(pa.array(hit))
 
-    own = rows.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
-    return own.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(probe, "doc_id long, digest binary")
+    return rows.select("bucket", "digest", "key").groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(probe, "bucket int, digest binary")
 
 
-def dedup(docs: DataFrame, batches: int = BATCHES, bucket_rows: int = BUCKET_ROWS, filter_keys: int = FILTER_KEYS) -> DataFrame:
+def dedup(docs: DataFrame, batches: int = BATCHES, bucket_rows: int = BUCKET_ROWS, filter_keys: int = FILTER_KEYS, digest_bytes: int = DIGEST) -> DataFrame:
     """Each document whose text an earlier one has: ``doc_id``, ``duplicate_of`` (the smallest id with that text)."""
     spark: SparkSession = docs.sparkSession
-    at = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
     first, last, n = docs.select(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long")), F.count("doc_id")).first()
-    empty = spark.createDataFrame([], "doc_id long, duplicate_of long")
     if first is None:
-        return empty
+        return spark.createDataFrame([], "doc_id long, duplicate_of long")
+    at = fresh_path(spark, "snapshots")
     buckets = max(1, -(-n // (batches * bucket_rows)))
-    step = -(-(last - first + 1) // batches)
-    batch = F.floor((F.col("doc_id") - first) / step).cast("int")
-    digests(docs).distinct().withColumn("batch", batch).write.partitionBy("batch").parquet(f"{at}/digests")
-    table = spark.read.schema("doc_id long, digest binary, key long, batch int").parquet(f"{at}/digests")
+    counted = digests(docs, digest_bytes).groupBy(batch_of(first, last, batches).alias("batch"), "digest", "key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
+    # by bucket: a bucket's digests lie together in the files of each batch
+    bucketed = counted.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
+    stored = "digest binary, key long, least long, most long, n long, bucket int, batch int"
+    bucketed.repartition("bucket").sortWithinPartitions("batch", "bucket").write.partitionBy("batch").parquet(f"{at}/digests")
+    table = spark.read.schema(stored).parquet(f"{at}/digests")
     suspects, filters = None, None
     for b in range(batches):
-        own = table.where(F.col("batch") == b).drop("batch")
-        again = own.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n > 1").select("digest")
-        found = own.join(again, "digest", "left_semi").select("digest")
+        own = table.where(F.col("batch") == b)
+        found = own.where("n > 1").select("digest")  # the new batch's own duplicates
         if filters is not None:
-            positive = cut(screen(own, filters, buckets))
-            # positives join the exact digests of the snapshots; false positives of the filters end here
-            found = found.unionByName(positive.join(table.where(F.col("batch") < b).select("digest"), "digest", "left_semi").select("digest"))
+            # positives join the exact digests of their bucket; false positives of the filters end here
+            known = table.where(F.col("batch") < b).select("bucket", "digest")
+            found = found.unionByName(screen(own, filters).join(known, ["bucket", "digest"], "left_semi").select("digest"))
         suspects = found if suspects is None else suspects.unionByName(found)
         if b < batches - 1:
-            build_filters(own, buckets).write.parquet(f"{at}/filters/snapshot={b}")
-            filters = spark.read.schema("bucket int, filter binary, snapshot int").parquet(f"{at}/filters").select("bucket", "filter")
-    keys = cut(suspects.distinct().select(F.xxhash64("digest").alias("key")))
-    texts = _texts(docs, keys, filter_keys, bucket_rows)
-    # the byte check: a text that a filter let through by mistake is alone in its group
-    named = texts.groupBy("text").agg(F.min("doc_id").alias("duplicate_of"), F.collect_set("doc_id").alias("ids"))
-    return named.select(F.explode("ids").alias("doc_id"), "duplicate_of").where("doc_id <> duplicate_of")
-
-
-def _texts(docs: DataFrame, keys: DataFrame, limit: int, bucket_rows: int) -> DataFrame:
-    """Ids and texts of the documents with one of ``keys``, and a few others.
-
-    Up to ``limit`` keys, a filter of them (9 bits a key) goes to every task and the scan drops the other documents, so
-    only texts under suspicion move; beyond, all texts are joined with the keys.
-    """
+            build_filters(own, buckets).write.parquet(f"{at}/filters-{b}")
+            # by the path of each: scans of one root folder count as equal, whatever has been added to it
+            filters = spark.read.schema("bucket int, filter binary").parquet(*[f"{at}/filters-{x}" for x in range(b + 1)])
+    suspects = cut(suspects.distinct())
+    texts = _texts(docs, suspects, filter_keys, bucket_rows, digest_bytes)
+    # the byte check: a text that the last filter let through by mistake is alone
+    kinds = cut(texts.groupBy("digest", "text").agg(F.min("doc_id").alias("duplicate_of"), F.max("doc_id").alias("most"), F.count("*").alias("n")))
+    whole = kinds.groupBy("digest").agg(F.count("*").alias("kinds"), F.min("duplicate_of").alias("duplicate_of"), F.max("most").alias("most"), F.sum("n").alias("n"))
+    # texts of one digest are equal: their ids need no second look at the bytes
+    one = cut(whole.where("kinds = 1 AND most > duplicate_of").select("digest", "duplicate_of", "n"))
+    rows = digests(docs, digest_bytes).select("doc_id", "digest")
+    same = join_one(rows, one, "digest", "n", n)
+    out = same.where("doc_id <> duplicate_of").select("doc_id", "duplicate_of")
+    several = cut(whole.where("kinds > 1").select("digest"))
+    if not several.isEmpty():
+        bytes_ = kinds.join(several, "digest", "left_semi").where("most > duplicate_of").select("text", "duplicate_of")
+        out = out.unionByName(texts.join(several, "digest", "left_semi").join(bytes_, "text").where("doc_id <> duplicate_of").select("doc_id", "duplicate_of"))
+    return out.distinct()
+
+
+def _texts(docs: DataFrame, suspects: DataFrame, limit: int, bucket_rows: int, digest_bytes: int) -> DataFrame:
+    """``doc_id``, ``digest`` and ``text`` (bytes) of the documents with one of the digests, and of a few others."""
     spark = docs.sparkSession
     own = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    keyed = own.withColumn("key", F.xxhash64(F.substring(F.unhex(F.sha2("text", 256)), 1, 16)))
-    n = keys.count()
+    rows = own.withColumn("digest", _digest("text", digest_bytes))
+    n = suspects.count()
     if n > limit:
-        return keyed.join(keys, "key", "left_semi").select("doc_id", "text")
+        return rows.join(suspects, "digest", "left_semi")
     buckets = max(1, -(-n // bucket_rows))
-    filters = spark.sparkContext.broadcast({r["bucket"]: bytes(r["filter"]) for r in build_filters(keys, buckets).collect()})
+    keys = suspects.select(F.xxhash64("digest").alias("key")).withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
+    filters = spark.sparkContext.broadcast({r["bucket"]: bytes(r["filter"]) for r in build_filters(keys, buckets).collect()})  # `limit` keys at most
 
     @F.pandas_udf("boolean")
     def suspect(key: pd.Series) -> pd.Series:
@@ -199,7 +225,7 @@ def _texts(docs: DataFrame, keys: DataFrame, limit: int, bucket_rows: int) -> Da
                 out[at] = BinaryFuse8.from_bytes(raw).contains(values[at].view(np.uint64))
         return pd.Series(out)
 
-    return keyed.where(suspect("key")).select("doc_id", "text")
+    return rows.where(suspect(F.xxhash64("digest"))).select("doc_id", "digest", "text")
 
 
 ORACLE = """

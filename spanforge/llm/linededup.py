@@ -9,14 +9,18 @@ a second pass; the rest are decided by the sketch.  A line that reaches
 ``doc_id`` that has it (in each of its places there) and goes everywhere else,
 so that no text is lost altogether.
 
-Lines are compared whole, byte for byte but for white space around them; blank
-lines and lines of under ``min_chars`` characters are never boilerplate.
+Lines are compared whole but for white space around them, by a hash of 128 bits;
+blank lines (under ``min_chars`` characters, one by default) are never
+boilerplate.  Up to ``limit`` boilerplate lines go to every task, beyond that the
+hashes of lines, not their texts, are joined with them; the result is the same.
 
-Cases: a null text stays null, an empty one empty.  A null ``source`` is no
+Cases: ``doc_id`` is an integer of up to 64 bits.  A null text stays null, an
+empty one empty.  A null ``source`` is no
 site.  Rows with a null ``doc_id`` lose every boilerplate line that some
 document with an id keeps.  Repeated rows of one ``doc_id`` are one document: if
 it is the keeper, each of its rows keeps the line.  A document whose lines all
-go stays, with an empty text.  An empty table gives an empty result.
+go stays, with an empty text.  An empty table gives an empty result.  Other
+columns are ignored, or passed through by ``stage``, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import cut
+from spanforge.llm.common import cut, fresh
 
 MIN_SITES = 8
-MIN_CHARS = 20
+MIN_CHARS = 1
 LG_K = 8
 BAND = 3.0
 #: boilerplate lines that are sent to every task; beyond, they are joined
@@ -40,107 +44,111 @@ def _line(c: Column) -> Column:
     return F.regexp_replace(c, r"^[ \t\r]+|[ \t\r]+$", "")
 
 
+def _hash(line: Column) -> Column:
+    """128 bits: two 64-bit hashes of different seeds."""
+    return F.struct(F.xxhash64(line).alias("h"), F.xxhash64(F.lit("line"), line).alias("g"))
+
+
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """Each line once for each document and place: ``h`` (hash), ``site``, ``doc``."""
     lines = F.filter(F.transform(F.split("text", "\n"), _line), lambda x: F.length(x) >= max(min_chars, 1))
     rows = docs.select(F.col("source").cast("string").alias("site"), F.col("doc_id").cast("long").alias("doc"), F.explode(lines).alias("line"))
-    return rows.select(F.xxhash64("line").alias("h"), "site", "doc")
+    return rows.select(_hash(F.col("line")).alias("h"), "site", "doc").select("h.h", "h.g", "site", "doc")
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, lg_k: int = LG_K, band: float = BAND) -> DataFrame:
-    """Line hashes (``h``) with at least ``min_sites`` sites, and the document that keeps each (``keeper``, null if none has an id)."""
+    """Line hashes (``h``, ``g``) with at least ``min_sites`` sites, and the document that keeps each (``keeper``, null if none has an id)."""
     lines = _lines(docs, min_chars)
     error = 1.04 / 2 ** (lg_k / 2) * band
     spread = (
-        lines.groupBy("h")
+        lines.groupBy("h", "g")
         .agg(F.count("site").alias("n"), F.hll_sketch_agg("site", lg_k).alias("sketch"), F.min("doc").alias("keeper"))
         .where(F.col("n") >= min_sites)
-        .select("h", "keeper", F.hll_sketch_estimate("sketch").alias("estimate"))
+        .select("h", "g", "keeper", F.hll_sketch_estimate("sketch").alias("estimate"))
         .where(F.col("estimate") >= min_sites * (1 - error))
     )
     spread = cut(spread)
-    near = spread.where(F.col("estimate") < min_sites * (1 + error)).select("h")
-    exact = lines.join(near, "h", "left_semi").groupBy("h").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites)
-    sure = spread.where(F.col("estimate") >= min_sites * (1 + error)).select("h", "keeper")
-    return cut(sure.unionByName(spread.join(exact, "h", "left_semi").select("h", "keeper")))
+    near = spread.where(F.col("estimate") < min_sites * (1 + error)).select("h", "g")
+    exact = lines.join(near, ["h", "g"], "left_semi").groupBy("h", "g").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites)
+    sure = spread.where(F.col("estimate") >= min_sites * (1 + error)).select("h", "g", "keeper")
+    return cut(sure.unionByName(spread.join(exact, ["h", "g"], "left_semi").select("h", "g", "keeper")))
 
 
-def _strip(docs: DataFrame, lines: DataFrame, min_chars: int, limit: int) -> DataFrame:
-    """``docs`` with two more columns: ``__text`` and ``__removed``."""
+def _strip(docs: DataFrame, lines: DataFrame, min_chars: int, limit: int, text: str, removed: str) -> DataFrame:
+    """``docs`` with two more columns, ``text`` and ``removed``."""
     spark = docs.sparkSession
     if lines.count() > limit:
-        return _strip_by_join(docs, lines, min_chars)
-    found = lines.toPandas()
-    h = found["h"].to_numpy(np.int64) if len(found) else np.zeros(0, np.int64)
-    keeper = found["keeper"].fillna(-(2**63)).astype("int64").to_numpy() if len(found) else np.zeros(0, np.int64)
-    order = np.argsort(h)
-    table = spark.sparkContext.broadcast((h[order], keeper[order]))  # `limit` lines at most
-    hashed = docs.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.transform(F.split("text", "\n"), lambda x: F.when(F.length(_line(x)) >= max(min_chars, 1), F.xxhash64(_line(x)))).alias("__h"),
-    )
+        return _strip_by_join(docs, lines, min_chars, text, removed)
+    found = lines.toPandas().sort_values(["h", "g"])
+    h, g = found["h"].to_numpy(np.int64), found["g"].to_numpy(np.int64)
+    keeper = found["keeper"].astype("Int64").fillna(-(2**63)).to_numpy(np.int64)
+    most = int(np.unique(h, return_counts=True)[1].max(initial=1))  # lines that share their first 64 bits
+    table = spark.sparkContext.broadcast((h, g, keeper))  # `limit` lines at most
+    (hashes,) = fresh([*docs.columns, text, removed], "hashes")
+    hashed = docs.select("*", F.transform(F.split("text", "\n"), lambda x: F.when(F.length(_line(x)) >= max(min_chars, 1), _hash(_line(x)))).alias(hashes))
 
     def run(batches):
-        known, owner = table.value
+        known, second, owner = table.value
         for batch in batches:
             names = batch.schema.names
-            hashes = batch.column(names.index("__h"))
+            own_hashes = batch.column(len(names) - 1)
             texts = batch.column(names.index("text")).to_pylist()
             ids = batch.column(names.index("doc_id"))
             own = np.array(ids.cast(pa.int64()).fill_null(-(2**63) + 1).to_numpy(zero_copy_only=False), np.int64)
-            flat = hashes.flatten()
-            value = np.array(flat.fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-            count = np.array(hashes.value_lengths().fill_null(0))
+            none = np.array(ids.is_null())
+            flat = own_hashes.flatten()
+            ok = np.array(flat.is_valid())
+            value, other = (np.array(flat.field(k).fill_null(0).to_numpy(zero_copy_only=False), np.int64) for k in (0, 1))
+            count = np.array(own_hashes.value_lengths().fill_null(0))
             doc = np.repeat(np.arange(len(count)), count)
             drop = np.zeros(len(value), bool)
             if len(known) and len(value):
-                at = np.minimum(np.searchsorted(known, value), len(known) - 1)
-                drop = (known[at] == value) & np.array(flat.is_valid()) & (owner[at] != own[doc])
-            removed = np.bincount(doc[drop], minlength=len(count)) if len(doc) else np.zeros(len(count), int)
+                first = np.searchsorted(known, value)
+                for k in range(most):
+                    at = np.minimum(first + k, len(known) - 1)
+                    drop |= (known[at] == value) & (second[at] == other) & ok & ((owner[at] != own[doc]) | none[doc])
+            gone = np.bincount(doc[drop], minlength=len(count)) if len(doc) else np.zeros(len(count), int)
             first = np.concatenate(([0], np.cumsum(count)))
-            for i in np.flatnonzero(removed):
-                gone = drop[first[i] : first[i + 1]]
-                texts[i] = "\n".join(x for x, g in zip(texts[i].split("\n"), gone) if not g)
-            columns = [batch.column(k) for k in range(len(names) - 1)] + [pa.array(texts, pa.string()), pa.array(removed, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, [*names[:-1], "__text", "__removed"])
+            for i in np.flatnonzero(gone):
+                mark = drop[first[i] : first[i + 1]]
+                texts[i] = "\n".join(x for x, m in zip(texts[i].split("\n"), mark) if not m)
+            columns = [batch.column(k) for k in range(len(names) - 1)] + [pa.array(texts, pa.string()), pa.array(gone, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, [*names[:-1], text, removed])
 
-    schema = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("text").alias("__text"), F.lit(0).alias("__removed")).schema
+    schema = docs.select("*", F.col("text").cast("string").alias(text), F.lit(0).alias(removed)).schema
     return hashed.mapInArrow(run, schema)
 
 
-def _strip_by_join(docs: DataFrame, lines: DataFrame, min_chars: int) -> DataFrame:
+def _strip_by_join(docs: DataFrame, lines: DataFrame, min_chars: int, text: str, removed: str) -> DataFrame:
     """The same by a shuffle of the hashes of the lines (not of the texts), for any number of boilerplate lines."""
-    each = docs.select("*", F.xxhash64(*[F.col(f"`{c}`") for c in ("doc_id", "text")]).alias("__key"))
-    parts = each.select("__key", F.col("doc_id").cast("long").alias("__doc"), F.posexplode(F.split("text", "\n")).alias("__pos", "__line")).select(
-        "__key", "__doc", "__pos", F.when(F.length(_line(F.col("__line"))) >= max(min_chars, 1), F.xxhash64(_line(F.col("__line")))).alias("h")
-    )
-    gone = (
-        parts.where("h IS NOT NULL")
-        .join(lines, "h")
-        .where(~F.col("keeper").eqNullSafe(F.col("__doc")) | F.col("__doc").isNull())
-        .groupBy("__key")
-        .agg(F.collect_set("__pos").alias("__gone"))
-    )
-    rest = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i))
-    return (
-        each.join(gone, "__key", "left")
-        .withColumn("__text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n")))
-        .withColumn("__removed", F.coalesce(F.size("__gone"), F.lit(0)))
-        .drop("__key", "__gone")
+    key, gone = fresh([*docs.columns, text, removed], "key", "gone")
+    each = docs.select("*", F.struct(F.col("doc_id").cast("long").alias("i"), _hash(F.col("text")).alias("t")).alias(key))
+    # each document of one id and text once, each line once in it
+    parts = each.where("text IS NOT NULL").select(F.col(key).alias("key"), F.explode(F.array_distinct(F.transform(F.split("text", "\n"), _line))).alias("line"))
+    asked = parts.where(F.length("line") >= max(min_chars, 1)).select("key", _hash(F.col("line")).alias("x"))
+    hit = asked.join(lines.select(F.struct("h", "g").alias("x"), "keeper"), "x")
+    lost = hit.where(~F.col("keeper").eqNullSafe(F.col("key.i")) | F.col("key.i").isNull()).groupBy(F.col("key").alias(key)).agg(F.collect_set("x").alias(gone))
+    is_gone = lambda x: F.coalesce(F.array_contains(F.col(gone), _hash(_line(x))), F.lit(False))
+    both = each.join(lost, key, "left")
+    return both.select(
+        *[F.col(f"`{c}`") for c in docs.columns],
+        F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x: ~is_gone(x)), "\n")).alias(text),
+        F.when(F.col(gone).isNull(), 0).otherwise(F.size(F.filter(F.split("text", "\n"), is_gone))).alias(removed),
     )
 
 
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, limit: int = BROADCAST_LINES, **how) -> DataFrame:
     """Every document: ``doc_id``, ``text`` without its boilerplate lines, ``removed`` (their number)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
-    out = _strip(docs, boilerplate(docs, min_sites, min_chars, **how), min_chars, limit)
-    return out.select("doc_id", F.col("__text").alias("text"), F.col("__removed").alias("removed"))
+    out = _strip(docs, boilerplate(docs, min_sites, min_chars, **how), min_chars, limit, "new_text", "removed")
+    return out.select("doc_id", F.col("new_text").alias("text"), "removed")
 
 
 def stage(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, limit: int = BROADCAST_LINES, **how) -> DataFrame:
     """The documents with all their columns, ``text`` (and ``n_chars``, if there) as line dedup leaves them."""
-    out = _strip(docs, boilerplate(docs, min_sites, min_chars, **how), min_chars, limit)
-    new = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
+    text, removed = fresh(docs.columns, "new_text", "removed")
+    out = _strip(docs, boilerplate(docs, min_sites, min_chars, **how), min_chars, limit, text, removed)
+    new = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
     return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 

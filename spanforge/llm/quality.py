@@ -54,7 +54,7 @@ def scores(texts: list, ratio: np.ndarray, bits: int = BUCKET_BITS) -> np.ndarra
 
 def _target_ids(labels: DataFrame, limit: int) -> np.ndarray:
     good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("i")).distinct()
-    ids = smallest_hashes(good, "i", limit).toPandas()["i"].to_numpy(np.int64)
+    ids = smallest_hashes(good, limit, "i").toPandas()["i"].to_numpy(np.int64)
     return np.sort(ids)
 
 

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanforge.llm import exactdedup, linededup, simhash
 
@@ -34,37 +35,59 @@ def corpus(seed=3):
 
 
 def groups_by_force(rows, k):
-    """Smallest id of each component of the pairs within k bits."""
-    own = {}
-    for i, t, _ in rows:
-        if i is not None and t is not None:
-            own.setdefault(i, t)
-    ids = sorted(own)
-    f, _ = simhash.fingerprints([own[i] for i in ids])
-    root = {i: i for i in ids}
+    """(id, smallest id of its component, whether it is the component's first) of each distinct (id, fingerprint)."""
+    own = sorted({(i, t) for i, t, _ in rows if i is not None and t is not None})
+    f, _ = simhash.fingerprints([t for _, t in own])
+    nodes = sorted({(i, *np.array(x).view(np.int64).tolist()) for (i, _), x in zip(own, f)})
+    f = np.array([n[1:] for n in nodes], np.int64).view(np.uint64).reshape(-1, 2)
+    root = list(range(len(nodes)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a in range(len(ids)):
+    for a in range(len(nodes)):
         d = np.bitwise_count(f[a, 0] ^ f[:, 0]).astype(int) + np.bitwise_count(f[a, 1] ^ f[:, 1])
-        for b in np.flatnonzero(d <= k):
-            x, y = find(ids[a]), find(ids[b])
+        for b in np.flatnonzero(d <= k).tolist():
+            x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
-    return {i: find(i) for i in ids if find(i) != i}
+    return nodes, [nodes[find(x)] for x in range(len(nodes))]
 
 
-@pytest.mark.parametrize("k", [3, 20, 30])
-def test_simhash_equals_brute_force(spark, k):
-    rows = corpus()
-    got = {r.doc_id: r.duplicate_of for r in simhash.near_duplicates(docs_of(spark, rows), k).collect()}
-    assert got == groups_by_force(rows, k)
-    if k == 20:
-        assert sum(1000 <= i < 1040 for i in got) >= 36
-        assert not any(i < 120 for i in got if i is not None)
-        assert got[2003] == 2002 and got[2006] == 2005 and 2004 not in got
+def copies_by_force(rows, k):
+    nodes, first = groups_by_force(rows, k)
+    # of one fingerprint, the document of the smallest id stays; of one id, its first fingerprint
+    return sorted((n[0], r[0]) for n, r in zip(nodes, first) if n[0] != r[0] or n[1:] != r[1:])
+
+
+@pytest.mark.parametrize("k,shard_rows", [(3, 1 << 16), (22, 1 << 16), (22, 40), (30, 1 << 16), (60, 1 << 16)])
+def test_simhash_equals_brute_force(spark, k, shard_rows):
+    rows = corpus() + [(7, words(random.Random(9), 50), "s1"), (1003, "one other text of this id", "s1")]
+    got = sorted((r.doc_id, r.duplicate_of) for r in simhash.near_duplicates(docs_of(spark, rows), k, shard_rows).collect())
+    assert got == copies_by_force(rows, k)
+    if k == 22:
+        gone = dict(got)
+        assert sum(1000 <= i < 1040 for i in gone) >= 36
+        assert not any(i < 120 for i in gone)
+        assert gone[2003] == 2002 and gone[2006] == 2005 and 2004 not in gone
+
+
+def test_every_word_and_its_place_count():
+    texts = ["Reouti anatha.", "Reouti anatha. 19.37.233.111", "total due by then 17", "total due by then 95", "one two six ten", "ten six two one", "a", "b"]
+    f, _ = simhash.fingerprints(texts)
+    assert len({tuple(x) for x in f.tolist()}) == len(texts)
+
+
+def test_simhash_stage_judges_each_text_of_an_id(spark):
+    rng = random.Random(8)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    rows = [(1, a, "s"), (2, a, "s"), (2, b, "s"), (3, c, "s"), (3, d, "s"), (4, d, "s"), (4, d, "s"), (5, b, "s"), (3, None, "s"), (None, a, "s")]
+    docs = docs_of(spark, rows).withColumnsRenamed({"hash": "gone", "keep": "f0"})
+    out = simhash.stage(docs)
+    assert out.columns == docs.columns
+    left = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert left == sorted([(1, a), (2, b), (3, c), (3, d), (3, None), (None, a)], key=str)
 
 
 def test_simhash_stage_keeps_columns_and_nulls(spark):
@@ -107,12 +130,20 @@ def test_exact_dedup_equals_brute_force(spark):
             first[t] = min(i, first.get(t, i))
     want = {(i, first[t]) for i, t, _ in rows if i is not None and t is not None and first[t] != i}
     docs = docs_of(spark, rows)
-    for how in ({"bucket_rows": 20}, {"filter_keys": 0}, {"batches": 1}):
+    for how in ({"bucket_rows": 20}, {"filter_keys": 0}, {"batches": 1}, {"digest_bytes": 1}):
         got = [(r.doc_id, r.duplicate_of) for r in exactdedup.dedup(docs, **how).collect()]
         assert len(got) == len(set(got)) and set(got) == want and len(want) > 5
     assert exactdedup.dedup(docs.limit(0)).count() == 0
 
 
+def test_exact_dedup_of_wide_ids(spark):
+    low, high = -(2**63) + 5, 2**63 - 1
+    rows = [(0, "a", "s"), (2**62, "a", "s"), (low, "b", "s"), (high, "b", "s"), (3, "c", "s"), (high - 1, "d", "s"), (-7, "d", "s"), (4, "a", "s")]
+    for batches in (1, 2, 3, 7):
+        got = {(r.doc_id, r.duplicate_of) for r in exactdedup.dedup(docs_of(spark, rows), batches=batches).collect()}
+        assert got == {(2**62, 0), (4, 0), (high, low), (high - 1, -7)}
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 100, 5000])
 def test_fuse_filter(n):
     rng = np.random.default_rng(n)
@@ -158,6 +189,10 @@ def test_line_dedup_equals_brute_force(spark, limit):
     for min_sites in (5, 11):
         got = linededup.line_dedup(docs_of(spark, rows), min_sites=min_sites, min_chars=10, limit=limit).collect()
         assert sorted([(r.doc_id, r.text, r.removed) for r in got], key=str) == strip_by_force(rows, min_sites, 10)
-    out = linededup.stage(docs_of(spark, rows), 5, 10, limit)
-    assert out.columns == docs_of(spark, rows).columns and out.count() == len(rows)
+    clash = docs_of(spark, rows).withColumns({c: F.lit(7) for c in ("hashes", "key", "gone", "removed", "new_text", "h", "g", "x", "line", "__text", "__h")})
+    out = linededup.stage(clash, 5, 10, limit)
+    assert out.columns == clash.columns
+    assert sorted([(r.doc_id, r.text) for r in out.collect()], key=str) == sorted([r[:2] for r in strip_by_force(rows, 5, 10)], key=str)
+    short = [(i, "ok.\n" + words(rng, 3), f"s{i}") for i in range(9)]
+    assert [r.text.count("ok.") for r in linededup.line_dedup(docs_of(spark, short), limit=limit).orderBy("doc_id").collect()] == [1] + [0] * 8
     assert linededup.line_dedup(docs_of(spark, rows).limit(0), limit=limit).count() == 0
