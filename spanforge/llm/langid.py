@@ -5,12 +5,14 @@ into one weight table; transitions between the languages of neighbouring words
 are learned with them.  Forward-backward gives each word its posterior, so a
 text that switches languages is cut into spans.
 
-The model is trained on a bounded sample: ``train_docs`` documents with a
-``lang`` (those of the smallest hashes of their ids), ``train_chars`` characters
-of each, spliced into code-switched sequences.  It is then applied to every
-word of every document, whole.
-
-Cases: a text without words (null, empty, symbols alone) has language null,
+The model is trained on a bounded sample: ``train_docs`` documents of each
+``lang`` (those of the smallest hashes of id and text; all of them, if a language
+has no more), whole, spliced into code-switched sequences.  It is then applied to
+every word of every document, whole.  Languages are tags: the field has a state
+for each, so their number is taken to be small.
+
+Cases: ``doc_id`` is an integer of up to 64 bits; nulls and repeated ids are
+trained on and labelled like others.  A text without words (null, empty, symbols alone) has language null,
 confidence 0, no spans, and is rejected.  Null ``lang`` rows are not trained on;
 without any labelled row each text has language null and is rejected.  Ties
 between languages go to the first by name.  Repeated rows get a row each.  An
@@ -28,11 +30,13 @@ from pyspark.sql import functions as F
 from spanforge.llm.bytescan import Tokens, mix
 from spanforge.llm.common import keep_rows, map_texts, smallest_hashes
 
-TRAIN_DOCS = 800
-TRAIN_CHARS = 1200
+#: documents of each language that the field is trained on
+TRAIN_DOCS = 200
+#: words in a training step
+STEP_WORDS = 1 << 17
 BITS = 16
 #: mean posterior of the document's language under which it is rejected
-CONFIDENCE = 0.35
+CONFIDENCE = 0.5
 _A = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -153,53 +157,65 @@ def train(sample: list[tuple[str, str]], rounds: int = 40, seed: int = 7, bits:
     np.add.at(seen, (back, label), 1)
     sure = (seen.sum(1) >= 4) & (seen.max(1) >= 0.95 * seen.sum(1))
     lex_hash, lex_lang = h[sure], seen[sure].argmax(1)
-    # sequences: runs of 4 to 24 words, in random order
-    runs = [(lo, min(lo + int(rng.integers(4, 25)), last)) for first, last in zip(tokens.first, tokens.last) for lo in range(first, last, 24)]
-    rng.shuffle(runs)
-    words = np.concatenate([np.arange(a, b) for a, b in runs])
+    # sequences: each text is cut into runs of 4 to 24 words, and those are put in random order
+    border = np.zeros(len(label) + 1, bool)
+    border[tokens.first] = border[-1] = True
+    border[np.cumsum(rng.integers(4, 25, len(label) // 4 + 1)).clip(max=len(label))] = True
+    at = np.flatnonzero(border)
+    run = rng.permutation(len(at) - 1)
+    size = np.diff(at)[run]
+    words = np.repeat(at[:-1][run] - (np.cumsum(size) - size), size) + np.arange(len(label))
     label = label[words]
     length = 96
-    first = np.arange(0, len(words), length)
-    count = np.minimum(length, len(words) - first)
+    begins = np.arange(0, len(words), length)
     ids, begin = word_features(tokens, np.unique(tokens.hash, return_index=True)[1], bits)
-    size = np.diff(np.append(begin, len(ids)))
-    owner = np.repeat(np.arange(len(begin)), size)
+    own = np.diff(np.append(begin, len(ids)))
     w, trans, start, lex_weight = np.zeros((1 << bits, k)), np.zeros((k, k)), np.zeros(k), np.zeros((k, k))
     lex_of = np.full(len(h), -1)
     lex_of[sure] = lex_lang
     word = back[words]
     params, moments = [w, trans, start, lex_weight], [(np.zeros_like(p), np.zeros_like(p)) for p in (w, trans, start, lex_weight)]
-    inner = np.ones(len(words), bool)
-    inner[first] = False
-    target = np.zeros((len(words), k))
-    target[np.arange(len(words)), label] = 1
+    # steps over whole sequences, about STEP_WORDS words each, in turn: each word is in one step at least
+    each = max(1, STEP_WORDS // length)
+    parts = [begins[lo : lo + each] for lo in range(0, len(begins), each)]
+    rounds = max(rounds, len(parts))
     for step in range(1, rounds + 1):
-        e = np.add.reduceat(w[ids], begin, axis=0)
-        e[lex_of >= 0] += lex_weight[lex_of[lex_of >= 0]]
-        emit = e[word]
+        first = parts[(step - 1) % len(parts)]
+        lo, hi = int(first[0]), min(int(first[-1]) + length, len(words))
+        first = first - lo
+        here, gold = word[lo:hi], label[lo:hi]
+        count = np.minimum(length, hi - lo - first)
+        kinds, spot = np.unique(here, return_inverse=True)
+        flat = np.repeat(begin[kinds] - (np.cumsum(own[kinds]) - own[kinds]), own[kinds]) + np.arange(int(own[kinds].sum()))
+        feature, owner = ids[flat], np.repeat(np.arange(len(kinds)), own[kinds])
+        lex = lex_of[kinds]
+        e = np.add.reduceat(w[feature], np.cumsum(own[kinds]) - own[kinds], axis=0)
+        e[lex >= 0] += lex_weight[lex[lex >= 0]]
         pair = np.zeros((k, k))
-        post = posteriors(emit, first, count, trans, start, pair)
-        diff = np.zeros((len(h), k))
-        np.add.at(diff, word, target - post)
-        gw = np.zeros_like(w)
-        np.add.at(gw, ids, diff[owner])
+        post = posteriors(e[spot], first, count, trans, start, pair)
+        target = np.zeros((hi - lo, k))
+        target[np.arange(hi - lo), gold] = 1
+        error = target - post
+        diff = np.stack([np.bincount(spot, error[:, y], len(kinds)) for y in range(k)], axis=1)
+        gw = np.stack([np.bincount(feature, diff[owner, y], 1 << bits) for y in range(k)], axis=1)
         glex = np.zeros_like(lex_weight)
-        np.add.at(glex, lex_of[lex_of >= 0], diff[lex_of >= 0])
+        np.add.at(glex, lex[lex >= 0], diff[lex >= 0])
+        inner = np.ones(hi - lo, bool)
+        inner[first] = False
         gt = target[:-1].T @ (target[1:] * inner[1:, None]) - pair
         gs = (target[first] - post[first]).sum(0)
-        n = len(words)
         for p, g, (m, v) in zip(params, (gw, gt, gs, glex), moments):
-            g = g / n - 1e-6 * p
+            g = g / (hi - lo) - 1e-6 * p
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             p += 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
     return Model(langs, w, trans, start, lex_hash, lex_lang, lex_weight)
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Model | None:
-    known = docs.where("lang IS NOT NULL").select(F.col("doc_id").cast("long").alias("i"), F.col("lang").cast("string").alias("l"), F.substring("text", 1, train_chars).alias("t"))
-    rows = smallest_hashes(known, "i", train_docs, "t", "l").where("t <> ''").collect()  # train_docs rows of train_chars characters
-    return train([(r.t, r.l) for r in rows])
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
+    known = docs.where("lang IS NOT NULL AND text <> ''").select(F.col("doc_id").cast("long").alias("i"), F.col("lang").cast("string").alias("l"), "text")
+    rows = smallest_hashes(known, train_docs, "i", "text", by="l").collect()  # train_docs rows of each language
+    return train(sorted((r.text, r.l) for r in rows))
 
 
 def classify(texts: list, model: Model) -> tuple[Tokens, np.ndarray, np.ndarray]:

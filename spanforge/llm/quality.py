@@ -2,19 +2,24 @@
 
 Words and punctuation runs (lower case) and their bigrams are hashed into a fixed
 number of buckets.  One multinomial is counted over the trusted documents, one
-over *all* documents; a document's score is the mean over its n-grams of
-``log p_target - log p_raw``, and it is kept if the score reaches the threshold.
+over *all* documents, both smoothed by the same ``SMOOTHING`` counts of the raw
+corpus a bucket (more where the target is so small that they are under one count
+of it), so a bucket that the target has in proportion has ratio 0 at any size.
+Two rules, both with fixed thresholds: a document's score is the mean over its
+n-grams of ``log p_target - log p_raw`` and must reach ``threshold``; and none of
+its words may have a ratio under ``floor``, that is, be frequent in the corpus and
+yet missing from all that is trusted (abuse in otherwise ordinary text).
 
 The trusted target is every document with quality 1 and toxic 0 in ``labels``;
 of more than ``target_limit`` of those, the ones with the smallest hashes of
 their ids are taken.  The raw counts have no such bound.
 
-Cases: a null or empty text, or one of white space alone, has no n-grams: score
-null, not kept.  A repeated row counts and scores as often as it occurs.  A null
-``doc_id`` is scored like any other and never trusted.  With no trusted
-document the two multinomials are both flat against each other: each score is 0
-and every non-empty document is kept.  An empty table gives an empty result.
-Other columns are ignored, or passed through by ``keep``.
+Cases: ``doc_id`` is an integer of up to 64 bits.  A null or empty text, or one
+of white space alone, has no n-grams: score null, not kept.  A repeated row
+counts and scores as often as it occurs.  A null ``doc_id`` is scored like any
+other and never trusted.  With no trusted document each score is 0 and every
+non-empty document is kept.  An empty table gives an empty result.  Other columns
+are ignored, or passed through by ``keep``.
 """
 
 from __future__ import annotations
@@ -25,31 +30,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm.bytescan import Tokens, ngram_hash
-from spanforge.llm.common import keep_rows, map_texts, smallest_hashes
+from spanforge.llm.common import keep_rows, map_texts, pieces, smallest_hashes
 
-BUCKET_BITS = 16
-ORDERS = (1, 2)
+BUCKET_BITS = 20
 #: mean nats per n-gram under which a document is rejected
-THRESHOLD = -0.5
+THRESHOLD = -0.35
+#: nats of a word under which a document is rejected
+FLOOR = -4.0
 TARGET_LIMIT = 2_000_000
 SMOOTHING = 4.0
 
 
-def features(texts: list, bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray, int]:
-    """Bucket and text of every n-gram."""
+def features(texts: list, bits: int = BUCKET_BITS) -> tuple[Tokens, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, the bucket of each, and bucket and text of every bigram."""
     tokens = Tokens(texts)
-    doc = tokens.doc
-    parts = [ngram_hash(tokens.hash, n, doc) for n in ORDERS]
-    bucket = np.concatenate([h >> np.uint64(64 - bits) for h, _ in parts]).astype(np.int64)
-    return bucket, np.concatenate([d for _, d in parts]), tokens.n_docs
+    pair, doc = ngram_hash(tokens.hash, 2, tokens.doc)
+    shift = np.uint64(64 - bits)
+    return tokens, (tokens.hash >> shift).astype(np.int64), (pair >> shift).astype(np.int64), doc
 
 
-def scores(texts: list, ratio: np.ndarray, bits: int = BUCKET_BITS) -> np.ndarray:
-    """Mean log ratio of each text; NaN where it has no n-grams."""
-    bucket, doc, n = features(texts, bits)
-    total = np.bincount(doc, ratio[bucket], n)
-    count = np.bincount(doc, minlength=n)
-    return np.where(count > 0, total / np.maximum(count, 1), np.nan)
+def scores(texts: list, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean log ratio of each text's n-grams, and the least of its words; NaN where it has none."""
+    tokens, word, pair, doc = features(texts, len(ratio).bit_length() - 1)
+    n = tokens.n_docs
+    own = ratio[word].astype(float)
+    total = np.bincount(tokens.doc, own, n) + np.bincount(doc, ratio[pair], n)
+    count = tokens.count + np.bincount(doc, minlength=n)
+    some = np.flatnonzero(tokens.count)
+    least = np.full(n, np.nan)
+    if len(some):
+        least[some] = np.minimum.reduceat(own, tokens.first[some])
+    return np.where(count > 0, total / np.maximum(count, 1), np.nan), least
+
+
+def kept(score: np.ndarray, least: np.ndarray, threshold: float, floor: float) -> np.ndarray:
+    return (np.round(score, 6) >= threshold) & (np.round(least, 6) >= floor)
 
 
 def _target_ids(labels: DataFrame, limit: int) -> np.ndarray:
@@ -61,10 +76,10 @@ def _target_ids(labels: DataFrame, limit: int) -> np.ndarray:
 def log_ratio(raw: np.ndarray, target: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
     """Log ratio of the two smoothed multinomials by bucket; 0 everywhere without a target."""
     if target.sum() == 0:
-        return np.zeros(len(raw))
-    p = (target + smoothing) / (target.sum() + smoothing * len(target))
-    q = (raw + smoothing) / (raw.sum() + smoothing * len(raw))
-    return np.log(p / q)
+        return np.zeros(len(raw), np.float32)
+    share = target.sum() / raw.sum()
+    some = max(smoothing, 1 / share)
+    return np.log((target / share + some) / (raw + some)).astype(np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, bits: int = BUCKET_BITS, target_limit: int = TARGET_LIMIT) -> np.ndarray:
@@ -74,8 +89,6 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BUCKET_BITS, target_limi
 
     def count(batches):
         raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
-        from spanforge.llm.common import pieces
-
         for batch in batches:
             for rows, texts in pieces(batch, "text"):
                 ids = rows.column(0)
@@ -83,9 +96,10 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BUCKET_BITS, target_limi
                 own = np.array(ids.fill_null(0).to_numpy(zero_copy_only=False), np.int64)
                 at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
                 good = (known[at] == own) & np.array(ids.is_valid()) if len(known) else np.zeros(len(own), bool)
-                bucket, doc, _ = features(texts, bits)
-                raw += np.bincount(bucket, minlength=1 << bits)
-                target += np.bincount(bucket[good[doc]], minlength=1 << bits)
+                tokens, word, pair, doc = features(texts, bits)
+                for bucket, who in ((word, tokens.doc), (pair, doc)):
+                    np.add.at(raw, bucket, 1)
+                    np.add.at(target, bucket[good[who]], 1)
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
 
@@ -96,18 +110,18 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BUCKET_BITS, target_limi
     return log_ratio(raw, target)
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **how) -> DataFrame:
-    """Every document: ``doc_id``, ``score`` (rounded to 6 digits), ``keep``."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **how))
+def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, floor: float = FLOOR, **how) -> DataFrame:
+    """Every document: ``doc_id``, ``score`` and ``least`` (rounded to 6 digits), ``keep``."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **how))  # 2**bits ratios
 
     def fn(rows: pa.RecordBatch, texts: list) -> pa.RecordBatch:
-        s = np.round(scores(texts, model.value, int(len(model.value)).bit_length() - 1), 6)
-        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(s, from_pandas=True), pa.array(s >= threshold)], ["doc_id", "score", "keep"])
+        s, least = scores(texts, model.value)
+        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.round(s, 6), from_pandas=True), pa.array(np.round(least, 6), from_pandas=True), pa.array(kept(s, least, threshold, floor))], ["doc_id", "score", "least", "keep"])
 
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fn, "doc_id long, score double, keep boolean")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fn, "doc_id long, score double, least double, keep boolean")
 
 
-def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **how) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, floor: float = FLOOR, **how) -> DataFrame:
     """The documents that ``score`` keeps, all columns unchanged."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **how))
-    return keep_rows(docs, lambda texts: scores(texts, model.value, int(len(model.value)).bit_length() - 1) >= threshold)
+    return keep_rows(docs, lambda texts: kept(*scores(texts, model.value), threshold, floor))
