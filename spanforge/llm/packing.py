@@ -1,17 +1,20 @@
 """Operator 6, best-fit packing of documents into training windows, with swap-based local search.
 
-The size of a document is its number of words and punctuation marks.  One
+The size of a document is its number of tokens, by operator 3's encoder.  One
 longer than the window is cut into full windows and a rest; each piece goes into
 one bin.  Best-fit decreasing fills the bins of a block of documents, then local
 search among its underfull bins moves a piece, exchanges one piece for one or two
 for one, wherever that increases the sum of squared fills, until nothing does;
 bins that become empty go.
 
-Blocks are cut by the hash of the id, about ``block_pieces`` pieces each, so
-bins are filled in parallel and a block fits in memory, whatever the input.
+Blocks are cut by the hash of id and size, about ``block_pieces`` pieces each, so
+bins are filled in parallel.  Rows that agree in both (repeated ones, null ids)
+are counted first and dealt out in lots of ``LOT`` rows, so they don't share a
+block: one fits in memory, whatever the input.
 
-Cases: null and empty texts have size 0 and no piece, so they have no row.
-Repeated rows are packed as often as they occur.  Ties go by size, then
+Cases: ``doc_id`` is an integer of up to 64 bits.  Null and empty texts have size
+0 and no piece, so they have no row.  Repeated rows are packed as often as they
+occur.  Ties go by size, then
 ``doc_id`` (null first), then piece.  An empty table gives an empty result.
 Other columns are ignored.
 """
@@ -22,13 +25,17 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import cut
+from spanforge.llm import bpe
+from spanforge.llm.common import cut, map_texts
 
 WINDOW = 2048
 BLOCK_PIECES = 40_000
+#: equal rows that stay together
+LOT = 64
 
 
 def best_fit(sizes: list[int], window: int) -> list[list[int]]:
@@ -164,16 +171,25 @@ def pack(sizes: list[int], window: int, rounds: int | None = None) -> list[list[
 OUT = "doc_id long, piece int, first_token long, n_tokens int, bin_id long, bin_offset int"
 
 
-def best_fit_packing(docs: DataFrame, window: int = WINDOW, block_pieces: int = BLOCK_PIECES, rounds: int | None = None) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
+    """``doc_id`` and the number of tokens ``n`` of each row."""
+
+    def fn(rows: pa.RecordBatch, texts: list) -> pa.RecordBatch:
+        _, n = bpe.encoder(vocabulary).encode(texts)
+        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64())], ["doc_id", "n"])
+
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fn, "doc_id long, n long", budget=4 << 20)
+
+
+def best_fit_packing(docs: DataFrame, window: int = WINDOW, block_pieces: int = BLOCK_PIECES, rounds: int | None = None, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
     """Each piece: ``doc_id``, ``piece``, ``first_token`` in its document, ``n_tokens``, ``bin_id``, ``bin_offset``."""
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_]"))
-    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.cast("long").alias("n")).where("n > 0"))
-    total = sized.agg(F.sum(F.ceil(F.col("n") / window))).first()[0] or 0
+    sized = cut(token_counts(docs, vocabulary).where("n > 0").groupBy("doc_id", "n").agg(F.count("*").alias("copies")))
+    total = sized.agg(F.sum(F.ceil(F.col("n") / window) * F.col("copies"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_pieces))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         block = int(pdf["block"].iloc[0])
-        pdf = pdf.sort_values(["doc_id", "n"], na_position="first", kind="stable")
+        pdf = pdf.loc[pdf.index.repeat(pdf["copies"])].sort_values(["doc_id", "n"], na_position="first", kind="stable")
         n = pdf["n"].to_numpy(np.int64)
         count = -(-n // window)
         row = np.repeat(np.arange(len(n)), count)
@@ -200,4 +216,6 @@ def best_fit_packing(docs: DataFrame, window: int = WINDOW, block_pieces: int =
             }
         ).astype({"doc_id": "Int64"})
 
-    return sized.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).groupBy("block").applyInPandas(fill, OUT)
+    lot = F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / LOT).cast("int"))).alias("lot")
+    lots = sized.select("doc_id", "n", "copies", lot).select("doc_id", "n", "lot", F.least(F.lit(LOT), F.col("copies") - F.col("lot") * LOT).alias("copies"))
+    return lots.withColumn("block", F.pmod(F.xxhash64("doc_id", "n", "lot"), F.lit(blocks))).groupBy("block").applyInPandas(fill, OUT)

@@ -1,8 +1,8 @@
 """Operator 7, sharding: best-fit-decreasing bin packing of indivisible groups.
 
 A group is the set of documents with equal text (its copies must not be split
-between shards); its size is the bytes of them all, rounded up to ``grain``.
-Groups in falling order of size enter the shard with the least room that still
+between shards); its size is the bytes of them all (rounded up to ``grain``, a
+byte by default).  Groups in falling order of size enter the shard with the least room that still
 holds them, or a new one.
 
 Best fit treats groups of one size alike, and shards of one room: so the packing
@@ -12,7 +12,10 @@ runs of shards by room.  It yields runs "the next n groups go, m to a shard, to
 shards b, b + 1, ..".  The groups are numbered in order of size by a range sort and
 find their run by binary search.
 
-Cases: a null text has 0 bytes, and all null texts are one group, apart from the
+The rows of a group get its shard by ``common.join_one``, so a text of millions of
+copies isn't gathered.
+
+Cases: ``doc_id`` is an integer of up to 64 bits.  A null text has 0 bytes, and all null texts are one group, apart from the
 empty texts' group; either takes one grain.  A group larger than a shard has an
 ``oversize`` shard of its own.  Null ids are kept; repeated rows count as often
 as they occur.  Ties go by the group's digest.  An empty table gives an empty
@@ -28,10 +31,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import cut
+from spanforge.llm.common import cut, join_one
 
 CAPACITY = 16 << 20
-GRAIN = 256
+GRAIN = 1
 
 
 class _Node:
@@ -143,7 +146,7 @@ def shard(docs: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> Data
     spark = docs.sparkSession
     digest = F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b""))
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("group_key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n")))
-    groups = cut(rows.groupBy("group_key").agg(F.sum("n").alias("group_bytes")))
+    groups = cut(rows.groupBy("group_key").agg(F.sum("n").alias("group_bytes"), F.count("*").alias("copies")))
     unit = F.greatest(F.ceil(F.col("group_bytes") / grain), F.lit(1)).cast("long")
     room = capacity // grain
     sizes = groups.select(F.least(unit, F.lit(room + 1)).alias("u")).groupBy("u").count().orderBy(F.desc("u")).toPandas()  # room + 1 rows at most
@@ -171,7 +174,7 @@ def shard(docs: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> Data
             else:
                 normal = rest
             big = rest < 0
-            yield pd.DataFrame({"group_key": pdf["group_key"], "group_bytes": pdf["group_bytes"], "shard": np.where(big, number, large + normal), "oversize": big})
+            yield pd.DataFrame({"group_key": pdf["group_key"], "group_bytes": pdf["group_bytes"], "copies": pdf["copies"], "shard": np.where(big, number, large + normal), "oversize": big})
 
-    placed = ordered.select("at", "group_key", "group_bytes").mapInPandas(assign, "group_key binary, group_bytes long, shard long, oversize boolean")
-    return rows.join(placed, "group_key").select("doc_id", F.lower(F.hex("group_key")).alias("group_key"), "group_bytes", "shard", "oversize")
+    placed = cut(ordered.select("at", "group_key", "group_bytes", "copies").mapInPandas(assign, "group_key binary, group_bytes long, copies long, shard long, oversize boolean"))
+    return join_one(rows, placed, "group_key", "copies", rows.count()).select("doc_id", F.lower(F.hex("group_key")).alias("group_key"), "group_bytes", "shard", "oversize")

@@ -118,6 +118,46 @@ def test_local_search_exchanges_and_empties_bins():
     assert len(after) <= 2
 
 
+def size_of(text):
+    import base64
+
+    import tiktoken
+
+    from spanforge.llm import bpe
+
+    if not hasattr(size_of, "known"):
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(bpe.VOCABULARY, "rb"))}
+        size_of.known = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return len(size_of.known.encode_ordinary(text))
+
+
+def test_packing_of_one_block_equals_the_search(spark):
+    """The bins of one block are those of best fit and search over the sizes, by a solver that looks at every exchange."""
+    rng = random.Random(6)
+    rows = [(i, words(rng, rng.randint(1, 40))) for i in range(60)]
+    window = 100
+    got = packing.best_fit_packing(docs_of(spark, rows), window=window).collect()
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.bin_id].append(r.n_tokens)
+    sizes = [s for b in bins.values() for s in b]
+    at = iter(range(len(sizes)))
+    members = [[next(at) for _ in b] for b in bins.values()]
+    want = [x for _, t in rows for x in [window] * (size_of(t) // window) + [size_of(t) % window] if x]
+    assert sorted(sizes) == sorted(want)
+    assert next(improvements(members, sizes, window), None) is None
+    assert len(bins) <= bfd(want, window)[0]
+
+
+def test_equal_rows_are_spread_over_blocks(spark):
+    docs = docs_of(spark, [(None, "one and the same text")] * 900 + [(5, "one and the same text")] * 900)
+    got = packing.best_fit_packing(docs, window=64, block_pieces=50).collect()
+    per = defaultdict(int)
+    for r in got:
+        per[r.bin_id >> 32] += 1
+    assert sum(per.values()) == 1800 and max(per.values()) <= 50 + 6 * packing.LOT
+
+
 def test_packing(spark):
     rng = random.Random(3)
     rows = [(i, words(rng, rng.randint(1, 90))) for i in range(300)] + [(400, None), (401, ""), (402, "  "), (403, words(rng, 1000)), (None, "no id here"), (7, "again seven"), (7, "again seven")]
@@ -129,8 +169,8 @@ def test_packing(spark):
         spans[r.bin_id].append((r.bin_offset, r.n_tokens))
     want = defaultdict(int)
     for i, t in rows:
-        if t and t.split():
-            want[i] += len(t.split())
+        if t:
+            want[i] += size_of(t)
     assert total == want and max(fill.values()) <= 64
     for x in spans.values():
         at = 0

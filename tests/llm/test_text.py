@@ -99,19 +99,35 @@ def test_quality_separates_labelled_junk(spark, smallest):
     assert np.mean([not r.keep for r in scored if r.quality == 0]) > 0.95
 
 
-def test_chat_masks_equal_brute_force(spark):
+@pytest.mark.parametrize("part_turns", [4096, 3])
+def test_chat_masks_equal_brute_force(spark, part_turns):
+    """Against another encoder, that gives the offsets of its tokens in characters."""
+    from tokenizers import Tokenizer
+
     rows = [(1, 0, "user", "hello thère"), (1, 1, "assistant", "answer éé one"), (1, 1, "assistant", "answer éé one"), (1, 2, None, None), (2, 0, "assistant", ""), (3, 0, "user", "x"), (None, 0, "assistant", "lost"), (4, None, "assistant", "w " * 3000), (4, 5, "user", "日本")]
-    conv = spark.createDataFrame([(*r, "clash", 1) for r in rows], "conv_id long, turn long, role string, text string, ids string, mask int")
-    got = {r.conv_id: r for r in chat.chat_format(conv).collect()}
-    assert set(got) == {1, 2, 3, 4} and got[1].n_turns == 4 and got[3].n_trained == 0
-    t = chat.tokenizer(chat.VOCABULARY)
-    for c, r in got.items():
+    rows += [(5, 3, "assistant", " same \n")] * 7 + [(5, k, "user" if k % 2 else "assistant", f"\n turn {k}  ") for k in range(5)]
+    conv = spark.createDataFrame([(*r, "clash", 1) for r in rows], "conv_id long, turn long, role string, text string, ids string, part int")
+    got = {}
+    for r in chat.chat_format(conv, part_turns=part_turns).orderBy("conv_id", "part").collect():
+        assert r.n_turns <= part_turns and r.n_tokens == len(r.ids) == len(r.loss_mask) and r.n_trained == sum(r.loss_mask)
+        have = got.setdefault(r.conv_id, [0, [], []])
+        have[0] += r.n_turns
+        have[1] += r.ids
+        have[2] += r.loss_mask
+    assert set(got) == {1, 2, 3, 4, 5} and got[1][0] == 4 and not any(got[3][2])
+    t = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    t.encode_special_tokens = True
+    for c, (n, ids, mask) in got.items():
         turns = sorted((x for x in rows if x[0] == c), key=lambda x: (x[1] is not None, x[1] or 0, x[2] is not None, x[2] or "", x[3] is not None, x[3] or ""))
-        text, spans = chat.render([(x[2], x[3]) for x in turns])
+        text, inside = "", []
+        for _, _, who, said in turns:
+            head, body = f"<|{who or 'unknown'}|>\n", f"{said or ''}<|end|>"
+            inside += [(False, len(head)), (who == "assistant", len(body)), (False, 1)]
+            text += head + body + "\n"
+        trained = [x for x, size in inside for _ in range(size)]
         e = t.encode(text, add_special_tokens=False)
-        assert r.ids == e.ids and r.n_tokens == len(e.ids)
-        assert r.loss_mask == [int(any(a < hi and b > lo for lo, hi in spans)) for a, b in e.offsets]
-        assert t.decode(r.ids) == text
+        assert n == len(turns) and ids == e.ids and t.decode(ids) == text
+        assert mask == [int(any(trained[a:b])) for a, b in e.offsets]
     assert chat.chat_format(conv.limit(0)).count() == 0
 
 
