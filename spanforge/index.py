@@ -7,6 +7,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanforge.functions import paths as paths_
 from spanforge.functions import similarity, text
 from spanforge.operators import results, search, tree
 from spanforge.operators.graph import Graph
@@ -148,7 +149,7 @@ class Index:
         if status[0] != "complete":
             raise ValueError(f"project {project_id} is not complete")
         graph = self.graph()
-        wanted = [tree.normal_path(p) for p in paths]
+        wanted = [paths_.normal("/" + p) for p in paths]
         named = [p for p in wanted if p != "/"]
         if named:
             from spanforge.schema import DIRECTORY

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from spanforge.schema import CONTENT, LAYERED, SYMBOL_TYPES, TABLES
 
 NODE = ["instance_id", "symbol_id", "object_id", "start", "end", "instance_type", "symbol_type", "level", "project_id", "layer"]
-NODE_SCHEMA = "instance_id long, symbol_id long, object_id int, start int, end int, instance_type int, symbol_type int, level int, project_id int, layer long"
+NODE_SCHEMA = "instance_id long, symbol_id long, object_id long, start int, end int, instance_type int, symbol_type int, level int, project_id int, layer long"
 REF_EDGE = ["from_instance", "from_symbol", "to_instance", "to_symbol", "ref_id", "object_id", "start", "end"]
 HAS_EDGE = ["parent_instance", "parent_symbol", "child_instance", "child_symbol", "parent_span"]
 
@@ -100,9 +100,6 @@ class Graph:
                 df = normal_ranges(df)
             self.tables[name] = df
 
-    def empty_nodes(self) -> DataFrame:
-        return self.spark.createDataFrame([], NODE_SCHEMA)
-
     @cached_property
     def nodes(self) -> DataFrame:
         """Every node with the columns that predicates use.

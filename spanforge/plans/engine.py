@@ -418,7 +418,7 @@ class Run:
             project = objects.where(F.col("id") == x[obj]).select("project_id").first()
             if project is None or project[0] not in out:
                 continue
-            lit = lambda k: F.lit(x[k]).cast("int").alias(k)
+            lit = lambda k: F.lit(x[k]).cast("long" if k == obj else "int").alias(k)  # noqa: B023, E731
             if r.kind == "ephemeral_instance":
                 df = ids.select(F.col("symbol_id").alias("symbol"), lit("object_id"), lit("start"), lit("end"), lit("instance_type"))
                 out[project[0]].setdefault("symbol_instances", []).append(df)

@@ -263,7 +263,7 @@ def _(i, spark, sf_dir):
     return i.query('"order_5" {}; "order_5"').nodes.select("instance_id", F.size("statements").alias("n_statements"), F.to_json("statements").alias("statements"))
 
 
-@query("overlay_instance", "SELECT 1 AS object_id, 4200 AS \"start\", 4210 AS \"end\", count(*) AS n FROM g_symbols WHERE symbol_type = 5 AND name LIKE '%\\_0' ESCAPE '\\'")
+@query("overlay_instance", "SELECT CAST(1 AS BIGINT) AS object_id, 4200 AS \"start\", 4210 AS \"end\", count(*) AS n FROM g_symbols WHERE symbol_type = 5 AND name LIKE '%\\_0' ESCAPE '\\'")
 def _(i, spark, sf_dir):
     r = i.query('@t type(g"*_0")\nlayer { ephemeral_instance(symbol_id="@t", object_id="1", start="4200", end="4210", instance_type="1") }')
     return r.nodes.where("layer < 0").groupBy("object_id", "start", "end").agg(F.count("*").alias("n"))
@@ -293,7 +293,7 @@ found AS (SELECT content_hash, k, piece, sum(strlen(piece)) OVER w + (k - 1) * {
   FROM pieces WINDOW w AS (PARTITION BY content_hash ORDER BY k ROWS UNBOUNDED PRECEDING)),
 marked AS (SELECT content_hash, pos, k, n, CASE WHEN piece <> '' THEN right(piece, 1) WHEN k > 1 THEN '{pin[-1]}' ELSE '' END AS before,
   CASE WHEN following <> '' THEN left(following, 1) WHEN k + 1 < n THEN '{pin[0]}' ELSE '' END AS after FROM found WHERE k < n),
-hits AS (SELECT doc_id % 5 + 1 AS project_id, CAST(doc_id + {tpch.DOCUMENT_OBJECTS} AS INTEGER) AS object_id, CAST(pos AS INTEGER) AS "start", CAST(pos + {len(pin.encode())} AS INTEGER) AS "end" FROM marked JOIN documents ON sha256(text) = content_hash WHERE TRUE{rule})
+hits AS (SELECT doc_id % 5 + 1 AS project_id, CAST(doc_id + {tpch.DOCUMENT_OBJECTS} AS BIGINT) AS object_id, CAST(pos AS INTEGER) AS "start", CAST(pos + {len(pin.encode())} AS INTEGER) AS "end" FROM marked JOIN documents ON sha256(text) = content_hash WHERE TRUE{rule})
 {tail})
 """
 
@@ -322,19 +322,19 @@ def _(i, spark, sf_dir):
     return t["objects"].join(store, "content_hash", "left_semi").groupBy("content_hash").agg(F.count("*").alias("files"))
 
 
-@query("loc_line", f"SELECT CAST(doc_id + {tpch.DOCUMENT_OBJECTS} AS INTEGER) AS object_id, CAST(strlen(string_split(text, chr(10))[1]) + 1 AS INTEGER) AS \"start\", CAST(strlen(string_split(text, chr(10))[1]) + 1 + strlen(string_split(text, chr(10))[2]) AS INTEGER) AS \"end\" FROM documents WHERE lang = 'en' AND len(string_split(text, chr(10))) >= 2", views=False)
+@query("loc_line", f"SELECT CAST(doc_id + {tpch.DOCUMENT_OBJECTS} AS BIGINT) AS object_id, CAST(strlen(string_split(text, chr(10))[1]) + 1 AS INTEGER) AS \"start\", CAST(strlen(string_split(text, chr(10))[1]) + 1 + strlen(string_split(text, chr(10))[2]) AS INTEGER) AS \"end\" FROM documents WHERE lang = 'en' AND len(string_split(text, chr(10))) >= 2", views=False)
 def _(i, spark, sf_dir):
     files = search.contents(i.graph()).where(F.col("path").contains("/en/"))
     return files.select("object_id", text.line_range(F.col("content"), 2).alias("r")).where("r IS NOT NULL").select("object_id", "r.start", "r.end")
 
 
-@query("loc_line_all", f"SELECT CAST(doc_id + {tpch.DOCUMENT_OBJECTS} AS INTEGER) AS object_id, CAST(strlen(string_split(text, chr(10))[1]) + 1 AS INTEGER) AS \"start\", CAST(strlen(string_split(text, chr(10))[1]) + 1 + strlen(string_split(text, chr(10))[2]) AS INTEGER) AS \"end\" FROM documents WHERE len(string_split(text, chr(10))) >= 2", views=False)
+@query("loc_line_all", f"SELECT CAST(doc_id + {tpch.DOCUMENT_OBJECTS} AS BIGINT) AS object_id, CAST(strlen(string_split(text, chr(10))[1]) + 1 AS INTEGER) AS \"start\", CAST(strlen(string_split(text, chr(10))[1]) + 1 + strlen(string_split(text, chr(10))[2]) AS INTEGER) AS \"end\" FROM documents WHERE len(string_split(text, chr(10))) >= 2", views=False)
 def _(i, spark, sf_dir):
     files = search.contents(i.graph()).where("content IS NOT NULL")
     return files.select("object_id", text.line_range(F.col("content"), 2).alias("r")).where("r IS NOT NULL").select("object_id", "r.start", "r.end")
 
 
-@query("slice_source", f"SELECT CAST(doc_id + {tpch.DOCUMENT_OBJECTS} AS INTEGER) AS object_id, hex(array_slice(encode(text), 11, 50)) AS bytes FROM documents", views=False)
+@query("slice_source", f"SELECT CAST(doc_id + {tpch.DOCUMENT_OBJECTS} AS BIGINT) AS object_id, hex(array_slice(encode(text), 11, 50)) AS bytes FROM documents", views=False)
 def _(i, spark, sf_dir):
     files = search.contents(i.graph()).where("content IS NOT NULL")
     return files.select("object_id", F.hex(text.byte_slice(F.col("content"), F.lit(10), F.lit(50))).alias("bytes"))
@@ -342,7 +342,7 @@ def _(i, spark, sf_dir):
 
 @query(
     "line_of_offset",
-    f"SELECT object_id, CAST(count(*) FILTER (WHERE pos <= 300) AS INTEGER) AS line FROM (SELECT CAST(doc_id + {tpch.DOCUMENT_OBJECTS} AS INTEGER) AS object_id, sum(strlen(piece) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) - strlen(piece) - 1 AS pos FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS piece, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents)) GROUP BY 1",
+    f"SELECT object_id, CAST(count(*) FILTER (WHERE pos <= 300) AS INTEGER) AS line FROM (SELECT CAST(doc_id + {tpch.DOCUMENT_OBJECTS} AS BIGINT) AS object_id, sum(strlen(piece) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) - strlen(piece) - 1 AS pos FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS piece, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents)) GROUP BY 1",
     views=False,
 )
 def _(i, spark, sf_dir):
@@ -350,7 +350,7 @@ def _(i, spark, sf_dir):
     return files.select("object_id", text.line_of(F.col("content"), F.lit(300)).alias("line"))
 
 
-@query("path_suffix_resolve", "SELECT CAST(id AS INTEGER) AS object_id, path FROM g_objects WHERE filetype <> 'directory' AND (path = '5.txt' OR path LIKE '%/5.txt') ORDER BY length(path), path LIMIT 50")
+@query("path_suffix_resolve", "SELECT id AS object_id, path FROM g_objects WHERE filetype <> 'directory' AND (path = '5.txt' OR path LIKE '%/5.txt') ORDER BY length(path), path LIMIT 50")
 def _(i, spark, sf_dir):
     return search.resolve(i.graph(), "5.txt").select("object_id", "path")
 

@@ -33,12 +33,13 @@ def _schema(**fields: str) -> T.StructType:
 
 TABLES = {
     "projects": _schema(id="int", project_name="str", root_path="str", upload_status="str", symbol_chunks_total="int", object_chunks_total="int", root_layer_id="long"),
-    "objects": _schema(id="int", project_id="int", module_path="str", filesystem_path="str", filetype="str", content_hash="str", layer="long"),
-    "object_contents": _schema(object_id="int", content="bytes"),
+    "objects": _schema(id="long", project_id="int", module_path="str", filesystem_path="str", filetype="str", content_hash="str", layer="long"),
+    "object_contents": _schema(object_id="long", content="bytes"),
     "content_store": _schema(content_hash="str", content="bytes", content_text="str"),
     "symbols": _schema(id="long", name="str", symbol_path="path", project_id="int", symbol_type="int", symbol_scope="int", leaf_name="str", layer="long"),
-    "symbol_instances": _schema(id="long", symbol="long", object_id="int", start="int", end="int", instance_type="int", layer="long"),
-    "symbol_refs": _schema(id="long", to_symbol="long", from_object="int", start="int", end="int", layer="long"),
+    "symbol_instances": _schema(id="long", symbol="long", object_id="long", start="int", end="int", instance_type="int", layer="long"),
+    "symbol_refs": _schema(id="long", to_symbol="long", from_object="long", start="int", end="int", layer="long"),
+    "chunks": _schema(project_id="int", kind="str", seq="int"),
 }
 
 #: tables with a column for the layer that a row belongs to

@@ -13,9 +13,11 @@ from spanforge.functions import names
 from spanforge.schema import DATA, DIRECTORY, FILE, FUNCTION, TYPE
 
 #: offsets of local symbol numbers and of instance ids, by kind
-LOCAL = {DIRECTORY: 0, FILE: 100_000_000, FUNCTION: 200_000_000, TYPE: 300_000_000, DATA: 1_000_000_000}
+LOCAL = {kind: k << 37 for k, kind in enumerate((DIRECTORY, FILE, FUNCTION, TYPE, DATA))}
 INSTANCE = {"sentinel": 1 << 40, "file": 2 << 40, "containment": 3 << 40, "function": 4 << 40, "data": 5 << 40, "type": 6 << 40}
-NATION_OBJECTS, DOCUMENT_OBJECTS, BRAND_OBJECTS = 10_000_000, 20_000_000, 30_000_000
+NATION_OBJECTS, DOCUMENT_OBJECTS, BRAND_OBJECTS = 1 << 40, 2 << 40, 3 << 40
+#: bits of a local symbol number here: there are more lines than uploads may have symbols
+LOCAL_BITS = 40
 CATALOGUE_PROJECT = 1
 
 
@@ -24,7 +26,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def _symbol_id(project: Column, local: Column) -> Column:
-    return F.shiftleft(project.cast("long"), 32).bitwiseOR(local.cast("long"))
+    return F.shiftleft(project.cast("long"), LOCAL_BITS).bitwiseOR(local.cast("long"))
 
 
 def _layer(project: Column) -> Column:
@@ -37,15 +39,15 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name", (F.col("r_regionkey") + 1).cast("int").alias("project"))
     projects = region.select((F.col("r_regionkey") + 1).cast("int").alias("id"), F.col("r_name").alias("project_name"), F.concat(F.lit("/"), "r_name").alias("root_path"), F.lit("complete").alias("upload_status"), F.lit(None).cast("int").alias("symbol_chunks_total"), F.lit(None).cast("int").alias("object_chunks_total"), _layer(F.col("r_regionkey") + 1).alias("root_layer_id"))
     who = customer.join(places, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        "c_custkey", "c_name", "project", F.concat(F.lit("/"), "r_name", F.lit("/"), "n_name", F.lit("/"), "c_name", F.lit(".ord")).alias("path"), "n_nationkey", (F.col("c_custkey") + 1).cast("int").alias("object_id")
+        "c_custkey", "c_name", "project", F.concat(F.lit("/"), "r_name", F.lit("/"), "n_name", F.lit("/"), "c_name", F.lit(".ord")).alias("path"), "n_nationkey", (F.col("c_custkey") + 1).cast("long").alias("object_id")
     )
     place_path = F.concat(F.lit("/"), F.col("r_name"), F.lit("/"), F.col("n_name"))
-    brand = F.regexp_extract("p_brand", "([0-9]+)$", 1).cast("int")
+    brand = F.regexp_extract("p_brand", "([0-9]+)$", 1).cast("long")
     doc_project = (F.pmod("doc_id", F.lit(5)) + 1).cast("int")
     named_docs = documents.join(region, F.col("r_regionkey") + 1 == doc_project)
 
     def obj(df: DataFrame, id_: Column, project: Column, path: Column, kind: str, digest: Column) -> DataFrame:
-        return df.select(id_.cast("int").alias("id"), project.cast("int").alias("project_id"), path.alias("module_path"), path.alias("filesystem_path"), F.lit(kind).alias("filetype"), digest.alias("content_hash"), _layer(project).alias("layer"))
+        return df.select(id_.cast("long").alias("id"), project.cast("int").alias("project_id"), path.alias("module_path"), path.alias("filesystem_path"), F.lit(kind).alias("filetype"), digest.alias("content_hash"), _layer(project).alias("layer"))
 
     objects = (
         obj(who, F.col("object_id"), F.col("project"), F.col("path"), "file", F.lit(""))
@@ -79,7 +81,7 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     symbols = symbols.withColumn("leaf_name", names.leaf_column(F.col("symbol_path"))).select("id", "name", "symbol_path", "project_id", "symbol_type", "symbol_scope", "leaf_name", "layer")
 
     def instance(df: DataFrame, group: str, key: Column, symbol_: Column, object_: Column, lo: Column, hi: Column, kind: int, project_: Column) -> DataFrame:
-        return df.select((key + INSTANCE[group]).cast("long").alias("id"), symbol_.alias("symbol"), object_.cast("int").alias("object_id"), lo.cast("int").alias("start"), hi.cast("int").alias("end"), F.lit(kind).alias("instance_type"), _layer(project_).alias("layer"))
+        return df.select((key + INSTANCE[group]).cast("long").alias("id"), symbol_.alias("symbol"), object_.cast("long").alias("object_id"), lo.cast("int").alias("start"), hi.cast("int").alias("end"), F.lit(kind).alias("instance_type"), _layer(project_).alias("layer"))
 
     zero, whole = F.lit(0), F.lit(100_000)
     file_symbol = _symbol_id(project, F.col("c_custkey") + LOCAL[FILE])
@@ -96,7 +98,7 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     refs = lines.select(
         line_no.cast("long").alias("id"),
         _symbol_id(F.lit(CATALOGUE_PROJECT), F.col("l_partkey") + LOCAL[TYPE]).alias("to_symbol"),
-        F.col("object_id").cast("int").alias("from_object"),
+        F.col("object_id").cast("long").alias("from_object"),
         (line_start + 5).cast("int").alias("start"),
         (line_start + 15).cast("int").alias("end"),
         _layer(project).alias("layer"),
@@ -111,13 +113,13 @@ def _path_sql(name: str, dots: bool) -> str:
 
 
 def _sid(project: str, local: str) -> str:
-    return f"(CAST({project} AS BIGINT) * 4294967296 + {local})"
+    return f"(CAST({project} AS BIGINT) * {1 << LOCAL_BITS} + {local})"
 
 
 #: common table expressions of the same views; ``nodes`` joins instances with their symbols
 SQL = f"""
 WITH places AS (SELECT n_nationkey, n_name, r_name, r_regionkey + 1 AS project, '/' || r_name || '/' || n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey),
-who AS (SELECT c_custkey, c_name, project, path || '/' || c_name || '.ord' AS path, n_nationkey, c_custkey + 1 AS object_id FROM customer JOIN places ON c_nationkey = n_nationkey),
+who AS (SELECT c_custkey, c_name, project, path || '/' || c_name || '.ord' AS path, n_nationkey, CAST(c_custkey + 1 AS BIGINT) AS object_id FROM customer JOIN places ON c_nationkey = n_nationkey),
 placed AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, c_name, project, object_id FROM orders JOIN who ON o_custkey = c_custkey),
 lines AS (SELECT l_orderkey, l_partkey, k, l_orderkey * 32 + k AS line_no, r * 1000 + k * 40 AS start, c_name, project, object_id
   FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS k FROM lineitem) JOIN placed ON l_orderkey = o_orderkey),
@@ -125,7 +127,7 @@ g_projects AS (SELECT r_regionkey + 1 AS id, r_name AS project_name, '/' || r_na
 g_objects AS (
   SELECT object_id AS id, project AS project_id, path, 'file' AS filetype, '' AS content_hash FROM who
   UNION ALL SELECT n_nationkey + {NATION_OBJECTS}, project, path, 'directory', '' FROM places
-  UNION ALL SELECT DISTINCT CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INTEGER) + {BRAND_OBJECTS}, {CATALOGUE_PROJECT}, '/catalogue/' || p_brand || '.cat', 'file', '' FROM part
+  UNION ALL SELECT DISTINCT CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS BIGINT) + {BRAND_OBJECTS}, {CATALOGUE_PROJECT}, '/catalogue/' || p_brand || '.cat', 'file', '' FROM part
   UNION ALL SELECT doc_id + {DOCUMENT_OBJECTS}, doc_id % 5 + 1, '/' || r_name || '/docs/' || source || '/' || lang || '/' || doc_id || '.txt', 'file', sha256(text) FROM documents JOIN region ON r_regionkey = doc_id % 5),
 g_symbols AS (
   SELECT id, name, CASE WHEN symbol_type IN ({FILE}, {DIRECTORY}) THEN {_path_sql("name", False)} ELSE {_path_sql("name", True)} END AS path, project_id, symbol_type, CASE symbol_type WHEN {DIRECTORY} THEN 5 WHEN {FILE} THEN 3 ELSE 2 END AS level FROM (
@@ -140,7 +142,7 @@ g_instances AS (
   UNION ALL SELECT c_custkey + {INSTANCE["containment"]}, {_sid("project", f"n_nationkey + {LOCAL[DIRECTORY]}")}, object_id, 0, 100000 FROM who
   UNION ALL SELECT o_orderkey + {INSTANCE["function"]}, {_sid("project", f"o_orderkey + {LOCAL[FUNCTION]}")}, object_id, r * 1000, r * 1000 + 1000 FROM placed
   UNION ALL SELECT line_no + {INSTANCE["data"]}, {_sid("project", f"line_no + {LOCAL[DATA]}")}, object_id, start, start + 30 FROM lines
-  UNION ALL SELECT p_partkey + {INSTANCE["type"]}, {_sid(str(CATALOGUE_PROJECT), f"p_partkey + {LOCAL[TYPE]}")}, CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INTEGER) + {BRAND_OBJECTS}, p_partkey * 10, p_partkey * 10 + 10 FROM part),
+  UNION ALL SELECT p_partkey + {INSTANCE["type"]}, {_sid(str(CATALOGUE_PROJECT), f"p_partkey + {LOCAL[TYPE]}")}, CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS BIGINT) + {BRAND_OBJECTS}, p_partkey * 10, p_partkey * 10 + 10 FROM part),
 g_refs AS (SELECT line_no AS id, {_sid(str(CATALOGUE_PROJECT), f"l_partkey + {LOCAL[TYPE]}")} AS to_symbol, object_id, start + 5 AS "start", start + 15 AS "end" FROM lines),
 nodes AS (SELECT i.id AS instance_id, s.id AS symbol_id, i.object_id, i."start", i."end", s.symbol_type, s.level, s.project_id, s.name, s.path, s.path[-1] AS leaf FROM g_instances i JOIN g_symbols s ON i.symbol = s.id)
 """

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from spanforge.sources.ingest import CHUNK
+from spanforge.sources.ingest import CHUNK, first_chunks
 
 
 def chunk_stream(spark: SparkSession, source: str, files_per_batch: int = 1000) -> DataFrame:
@@ -17,13 +17,12 @@ def chunk_stream(spark: SparkSession, source: str, files_per_batch: int = 1000)
 def store_chunks(chunks: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Write new chunks under ``target``, by project and kind.
 
-    A batch is written to a folder of its own number, so one that is run again after a failure replaces itself; chunks
-    that were sent before are dropped by ``ingest.latest`` when the upload is read.
+    A batch is written to a folder of its own number, so one that is run again after a failure replaces itself.  The
+    number is read again as ``batch``: ``ingest.first_chunks`` takes the chunk that came first when the upload is read.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates(["project_id", "kind", "seq"])
-        fresh.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        first_chunks(batch.drop("batch")).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

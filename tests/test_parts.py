@@ -280,7 +280,7 @@ def chunks(spark):
     h = hashlib.sha256(raw).hexdigest()
     symbols = [(0, "pkg.f", 2, FUNCTION), (1, "pkg.g", 0, FUNCTION), (2, "bad", 1, 77), (1 << 33, "far", 1, FUNCTION)]
     obj = (7, "pkg", "//src///f.c/", "file", None, h, [(0, 1, 0, 23), (1, 1, 5, 5)], [(1, 17, 20)])
-    rows = [(3, "symbols", 0, symbols, None, None), (3, "objects", 0, None, [obj], None), (3, "contents", 0, None, None, [(h, bytearray(raw)), ("0" * 64, bytearray(b"wrong"))])]
+    rows = [(3, "symbols", 0, symbols, None, None, 0), (3, "objects", 0, None, [obj], None, 0), (3, "contents", 0, None, None, [(h, bytearray(raw)), ("0" * 64, bytearray(b"wrong"))], 0)]
     return spark.createDataFrame(rows + rows[:2], ingest.CHUNK), h
 
 
@@ -295,17 +295,144 @@ def test_upload_and_store(spark, tmp_path):
     assert [r.filesystem_path for r in stored["objects"].collect()] == ["/src/f.c"]
     assert {(r.start, r.end) for r in stored["symbol_instances"].collect()} == {(0, 23), (0, 0)}
     assert [r.content_hash for r in stored["content_store"].collect()] == [h]
-    assert [(r.symbols, r.contents) for r in ingest.rejected(got).collect()] == [(2, 1)]
+    assert [(r.symbols, r.objects, r.contents) for r in ingest.rejected(got).collect()] == [(2, 0, 1)]
     from spanforge.index import Index
 
     index = Index.load(spark, str(tmp_path))
     assert {n["label"] for n in to_graph(index.query('"f" {}'))["nodes"]} == {"pkg.f", "pkg.g"}
     assert [r.content_hash for r in ingest.missing_hashes(spark.createDataFrame([(h,), ("new",)], "content_hash string"), stored["content_store"]).collect()] == ["new"]
     left = ingest.delete_project(stored, 3)
-    assert left["symbols"].count() == left["symbol_refs"].count() == left["objects"].count() == 0 and left["projects"].count() == 1
+    assert all(left[t].count() == 0 for t in ("symbols", "symbol_refs", "symbol_instances", "objects", "nodes", "chunks")) and left["projects"].count() == 1
+    write_tables(left, str(tmp_path / "left"))
+    assert not to_graph(Index.load(spark, str(tmp_path / "left")).query('"f"'))["nodes"]
     assert set(read_tables(spark, str(tmp_path / "none"))) == set(TABLES)
 
 
+def test_a_chunk_sent_again_changes_nothing(spark):
+    sym = lambda *names: [(i, n, 0, FUNCTION) for i, n in enumerate(names)]
+    obj = lambda path, *at: [(0, "m", path, "file", None, "h", [(i, 1, lo, lo + 5) for i, lo in enumerate(at)], [])]
+    first = [(1, "symbols", 0, sym("a", "b"), None, None, 0), (1, "objects", 0, None, obj("/x", 0, 9), None, 0)]
+    again = [(1, "symbols", 0, sym("c", "d", "e"), None, None, 1), (1, "objects", 0, None, obj("/y", 50, 60), None, 1)]
+    for rows in (first + again, again[::-1] + first):
+        got = spark.createDataFrame(rows, ingest.CHUNK).repartition(3)
+        assert {r.name for r in ingest.symbols(got).collect()} == {"a", "b"}
+        assert [r.filesystem_path for r in ingest.objects(got).collect()] == ["/x"]
+        assert {r.start for r in ingest.symbol_instances(got).collect()} == {0, 9}
+
+
+def test_object_ids_of_projects_differ(spark):
+    obj = lambda n: [(n, "m", f"/f{n}", "file", None, "h", [], [])]
+    rows = [(p, "objects", k, None, obj(n), None, 0) for p in (1, 2, 5000, 2**31 - 1) for k, n in enumerate((0, 1, 1 << 20, (1 << 32) - 1, 1 << 32, -1))]
+    got = spark.createDataFrame(rows, ingest.CHUNK)
+    ids = [r.id for r in ingest.objects(got).collect()]
+    assert len(ids) == len(set(ids)) == 16 and min(ids) > 0
+    assert {(r.project_id, r.objects) for r in ingest.rejected(got).collect()} == {(p, 2) for p in (1, 2, 5000, 2**31 - 1)}
+
+
+def test_objects_of_one_path_are_one(spark):
+    rows = [
+        (1, "symbols", 0, [(0, "f", 0, FUNCTION), (1, "g", 0, FUNCTION)], None, None, 0),
+        (1, "objects", 0, None, [(3, "m", "/d/./x//y/../f.c", "file", None, "h1", [(0, 0, 0, 5)], [(1, 2, 3)]), (4, "m", "relative", "file", None, "h", [(0, 1, 0, 1)], [])], None, 0),
+        (1, "objects", 1, None, [(9, "m2", "/d/x/f.c", "source", None, "h2", [(1, 1, 7, 9), (7, 1, 7, 9), (0, 99, 1, 2)], [(5, 0, 1), (0, 8, 9)])], None, 0),
+    ]
+    got = spark.createDataFrame(rows, ingest.CHUNK)
+    objects = ingest.objects(got).collect()
+    assert [(r.id, r.filesystem_path, r.filetype, r.content_hash) for r in objects] == [((1 << 32) + 3, "/d/x/f.c", "source", "h2")]
+    assert {(r.object_id, r.start, r.instance_type) for r in ingest.symbol_instances(got).collect()} == {((1 << 32) + 3, 0, 1), ((1 << 32) + 3, 7, 1)}
+    assert {(r.from_object, r.start) for r in ingest.symbol_refs(got).collect()} == {((1 << 32) + 3, 2), ((1 << 32) + 3, 8)}
+    assert [r.objects for r in ingest.rejected(got).collect()] == [1]
+
+
+def test_paths_as_columns_and_in_python(spark):
+    from spanforge.functions import paths
+
+    given = {"//src///f.c/": "/src/f.c", "/": "/", "": "/", "a/./b": "a/b", "/a/../..": "/", "\\x\\y": "/x/y", "/a/b/..": "/a", "..": "/", "/.": "/"}
+    df = spark.createDataFrame([(g,) for g in given], "p string")
+    assert [r.n for r in df.select(paths.normal_column(F.col("p")).alias("n")).collect()] == list(given.values()) == [paths.normal(g) for g in given]
+
+
+def test_stored_projects_come_and_go(spark, tmp_path):
+    from spanforge.index import Index
+    from spanforge.sources import store
+
+    at = str(tmp_path)
+    got, _ = chunks(spark)
+    projects = lambda *rows: spark.createDataFrame(rows, "id int, project_name string, root_path string, symbol_chunks_total int, object_chunks_total int")
+    write_tables(ingest.ingest(got, projects((3, "up", "/up", 1, 1))), at)
+    other = got.where("kind <> 'contents'").withColumn("project_id", F.lit(4))
+    write_tables(ingest.ingest(other, projects((4, "late", "/late", 2, 1))), at, mode="append")
+    with pytest.raises(store.Conflict):
+        store.begin(spark, at, "up")
+    assert store.begin(spark, at, "late") == 4 and store.begin(spark, at, "new") is None
+    with pytest.raises(ValueError):
+        store.finalize(spark, at, 4)
+    assert store.finalize(spark, at, 3) and not store.finalize(spark, at, 77)
+    shown = Index.load(spark, at).project(4)
+    assert (shown["symbol_count"], shown["file_count"], shown["symbol_chunks_total"], shown["committed_symbol_chunks"], shown["committed_object_chunks"]) == (2, 1, 2, [0], [0])
+    store.set_status(spark, at, 4, "failed")
+    assert store.begin(spark, at, "late") is None
+    left = read_tables(spark, at)
+    assert [r.id for r in left["projects"].collect()] == [3] and {r.project_id for r in left["symbols"].collect()} == {3} and left["nodes"].count() == 2
+    assert len(list(tmp_path.glob("nodes/layer=*"))) == 1
+    assert store.delete_stored(spark, at, 3) and not store.delete_stored(spark, at, 3)
+    assert all(df.count() == 0 for name, df in read_tables(spark, at).items() if name not in ("content_store", "object_contents"))
+
+
+def message(fields):
+    """Fields (number, value) in the wire format; a list of fields is a message."""
+
+    def varint(n):
+        n %= 1 << 64
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    out = b""
+    for number, value in fields:
+        if isinstance(value, int):
+            out += varint(number << 3) + varint(value)
+            continue
+        raw = value.encode() if isinstance(value, str) else value if isinstance(value, bytes) else message(value)
+        out += varint(number << 3 | 2) + varint(len(raw)) + raw
+    return out
+
+
+def test_index_files(spark, tmp_path):
+    from spanforge.sources import protobuf
+
+    raw = "int f() { return g(); } é\n".encode()
+    h = hashlib.sha256(raw).hexdigest()
+    project = message(
+        [(1, "proj"), (2, "/root"), (99, "unknown"), (98, 7)]
+        + [(5, [(1, i), (2, n), (3, 2), (4, FUNCTION)]) for i, n in enumerate(("pkg.f", "pkg.g"))]
+        + [(4, [(1, 5), (3, "m"), (4, "/f.c"), (5, "file"), (9, h), (7, [(1, 0), (2, 1), (4, 23)]), (7, [(1, 1), (3, 17), (4, 18)]), (8, [(1, 1), (2, 17), (3, 20)])])]
+    )
+    (tmp_path / "project.pb").write_bytes(project)
+    (tmp_path / "contents-1.pb").write_bytes(message([(1, [(1, h), (2, raw)])]))
+    (tmp_path / "contents-2.pb").write_bytes(message([(1, [(1, hashlib.sha256(b"").hexdigest()), (2, b"")])]))
+    got, head = protobuf.read(spark, str(tmp_path), 6)
+    tables = ingest.ingest(got, head)
+    assert [tuple(r)[:4] for r in tables["projects"].collect()] == [(6, "proj", "/root", "complete")]
+    assert {r.name for r in tables["symbols"].collect()} == {"pkg.f", "pkg.g"}
+    assert {(r.start, r.end) for r in tables["symbol_instances"].collect()} == {(0, 23), (17, 18)}
+    assert {bytes(r.content) for r in tables["content_store"].collect()} == {raw, b""}
+    single, head = protobuf.read(spark, str(tmp_path / "project.pb"), 7, "renamed")
+    assert head.first().project_name == "renamed" and {r.kind for r in single.collect()} == {"symbols", "objects"}
+    with pytest.raises(FileNotFoundError):
+        protobuf.read(spark, str(tmp_path / "nowhere"), 1)
+    with pytest.raises(ValueError):
+        protobuf.decode(project[:-3], protobuf.PROJECT)
+
+
+def test_rows_of_a_relational_store(spark):
+    from spanforge.sources import store
+
+    assert set(store.RELATIONAL) == set(TABLES)
+    rows = spark.createDataFrame([(1, "a.b", "a.b", 1, 1, None, "b", 5)], "id long, name string, symbol_path string, project_id int, symbol_type int, symbol_scope int, leaf_name string, layer long")
+    assert store.from_relational("symbols", rows).first().symbol_path == ["a", "b"]
+
+
 def test_stream_of_chunks(spark, tmp_path):
     got, _ = chunks(spark)
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
@@ -314,7 +441,7 @@ def test_stream_of_chunks(spark, tmp_path):
     got.coalesce(1).write.mode("append").parquet(source)  # all of it is sent again
     upload.store_chunks(upload.chunk_stream(spark, source), target, str(tmp_path / "check")).awaitTermination()
     stored = spark.read.schema(ingest.CHUNK).parquet(target)
-    assert stored.count() == 6 and ingest.latest(stored).count() == 3 and ingest.symbols(stored).count() == 2
+    assert stored.count() == 6 and ingest.first_chunks(stored).count() == 3 and ingest.symbols(stored).count() == 2
     assert {(r.kind, r.chunks) for r in upload.progress(stored).collect()} == {("symbols", 1), ("objects", 1), ("contents", 1)}
 
 
