@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,10 +49,22 @@ def suggest(symbols: DataFrame, query: str, limit: int = 5) -> DataFrame:
     def score(name: pd.Series, leaf: pd.Series) -> pd.Series:
         return pd.Series([max(word_similarity(query, a), word_similarity(query, b)) for a, b in zip(name, leaf)], dtype="float64")
 
-    # a name shares a trigram at least: told in the JVM before anything goes to Python
-    parts = sorted({t.strip() for t in trigrams(query) if t.strip()}, key=len)
-    near = F.lit(False)
-    for t in parts:
-        near = near | F.contains(F.lower("name"), F.lit(t)) | F.contains(F.lower("leaf_name"), F.lit(t))
-    found = symbols.where(near).select("name", "leaf_name").distinct().withColumn("score", score("name", "leaf_name")).where(F.col("score") >= THRESHOLD)
+    # what reaches the threshold has that share of the query's trigrams at least: told in the JVM before anything goes to
+    # Python, first by one trigram in the text itself, then by all of them
+    wanted = sorted(set(trigrams(query)))
+    if not wanted:
+        return symbols.select("name", F.lit(0.0).alias("score")).limit(0)
+    parts = sorted({t.strip() for t in wanted})
+    some = lambda c: reduce(lambda a, b: a | b, [F.contains(F.lower(c), F.lit(t)) for t in parts])
+    least = math.ceil(THRESHOLD * len(wanted) - 1e-9)
+    many = lambda c: F.size(F.array_intersect(_trigram_column(F.col(c)), F.array(*map(F.lit, wanted)))) >= least
+    near = symbols.where(some("name") | some("leaf_name")).select("name", "leaf_name").distinct().where(many("name") | many("leaf_name"))
+    found = near.withColumn("score", score("name", "leaf_name")).where(F.col("score") >= THRESHOLD)
     return found.groupBy("name").agg(F.max("score").alias("score")).orderBy(F.desc("score"), F.length("name"), "name").limit(limit)
+
+
+def _trigram_column(name: F.Column) -> F.Column:
+    """The trigrams of the names in a table, without order."""
+    words = F.filter(F.split(F.lower(name), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    of = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)))
+    return F.flatten(F.transform(words, of))

@@ -19,8 +19,8 @@ from spanforge.schema import TABLES
 class Index:
     """``tables``: a DataFrame for each of ``schema.TABLES`` (missing ones are empty), and ``nodes`` where it is stored."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], bin_width: int | None = None, cache_results: int = 64):
-        self.spark, self.bin_width = spark, bin_width
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], by_cells: bool = False, cache_results: int = 64):
+        self.spark, self.by_cells = spark, by_cells
         self.tables = {name: tables[name] if name in tables else spark.createDataFrame([], schema) for name, schema in TABLES.items()}
         if "nodes" in tables:
             self.tables["nodes"] = tables["nodes"]
@@ -33,9 +33,9 @@ class Index:
     @classmethod
     def load(cls, spark: SparkSession, path: str, **how) -> "Index":
         """Tables stored as Parquet under ``path`` (see sources.store)."""
-        from spanforge.sources.store import read_tables
+        from spanforge.sources.store import has_large_objects, read_tables
 
-        return cls(spark, read_tables(spark, path), **how)
+        return cls(spark, read_tables(spark, path), **{"by_cells": has_large_objects(spark, path)} | how)
 
     def changed(self) -> None:
         """Forget what was derived from the tables; to call after they have changed."""
@@ -59,7 +59,7 @@ class Index:
         if key not in self._graphs:
             if len(self._graphs) > 8:  # plans alone, but layers may have gone
                 self._graphs.clear()
-            self._graphs[key] = Graph(self.spark, self.tables, list(key), self.layers.overlay(chain.layers()), self.bin_width)
+            self._graphs[key] = Graph(self.spark, self.tables, list(key), self.layers.overlay(chain.layers()), self.by_cells)
         return self._graphs[key]
 
     # queries:

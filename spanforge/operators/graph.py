@@ -2,9 +2,11 @@
 
 A *node* is an occurrence (instance) of a symbol: a byte range [start, end) of an
 object.  Every join carries the object as an equality, so it is partitioned by
-it; the byte ranges are a residual condition.  Where single objects are large,
-``bin_width`` cuts them: the outer range is spread over the bins it covers and
-the inner one looked up in the bin of its start.
+it; the byte ranges are a residual condition.  Where single objects are large
+(``by_cells``), joins are by cells too: a range belongs to the smallest cell of a
+fixed grid that holds it whole, and what contains a range belongs to a cell around
+that range's start.  Few ranges share a cell, so the work follows the result and
+not the square of an object, and one object's rows are spread over tasks.
 
 Ids from a request are DataFrames, joined by ``left_semi``; nothing is collected
 here and no side is broadcast by hint: adaptive execution does that for sides it
@@ -43,18 +45,54 @@ def differs(a: str, b: str) -> Column:
     return (F.col(f"{a}.start") != F.col(f"{b}.start")) | (F.col(f"{a}.end") != F.col(f"{b}.end"))
 
 
-def containment_join(outer: DataFrame, inner: DataFrame, condition: Column | None = None, bin_width: int | None = None) -> DataFrame:
-    """Pairs of ``outer`` (alias o) and ``inner`` (alias i) of one object where outer contains inner."""
+#: cells of 2**8 .. 2**28 bytes, and the whole object
+CELL_BITS = (8, 12, 16, 20, 24, 28, 32)
+
+
+def _cell(start: Column, bits: int) -> Column:
+    at = F.shiftright(start, bits).cast("long") if bits < 32 else F.lit(0).cast("long")
+    return F.lit(bits << 33) + at
+
+
+def own_cell(start: Column, end: Column) -> Column:
+    """The smallest cell that holds a range."""
+    last = F.greatest(end - 1, start)
+    out = _cell(start, CELL_BITS[-1])
+    for bits in CELL_BITS[-2::-1]:
+        out = F.when(F.shiftright(start, bits) == F.shiftright(last, bits), _cell(start, bits)).otherwise(out)
+    return out
+
+
+def cells_around(start: Column, end: Column) -> Column:
+    """The cells that hold a range: what contains the range has one of them as its own."""
+    last = F.greatest(end - 1, start)
+    every = [F.when(F.shiftright(start, bits) == F.shiftright(last, bits), _cell(start, bits)) for bits in CELL_BITS[:-1]]
+    return F.array_compact(F.array(*every, _cell(start, CELL_BITS[-1])))
+
+
+def containment_join(outer: DataFrame, inner: DataFrame, condition: Column | None = None, by_cells: bool = False, how: str = "inner") -> DataFrame:
+    """Pairs of ``outer`` (alias o) and ``inner`` (alias i) of one object where outer contains inner.
+
+    ``how`` may be "left_anti": the rows of ``inner`` that nothing contains (alias i).
+    """
     o, i = outer.alias("o"), inner.alias("i")
     rule = contains("o", "i") if condition is None else contains("o", "i") & condition
-    if not bin_width:
-        return o.join(i, (F.col("o.object_id") == F.col("i.object_id")) & rule)
-    wide = F.explode(F.sequence(F.floor(F.col("start") / bin_width), F.floor(F.greatest(F.col("start"), F.col("end") - 1) / bin_width)))
-    binned_o = outer.withColumn("bin", wide).alias("o")
-    full = inner.where("start < end").withColumn("bin", F.floor(F.col("start") / bin_width)).alias("i")
-    hits = binned_o.join(full, (F.col("o.object_id") == F.col("i.object_id")) & (F.col("o.bin") == F.col("i.bin")) & rule)
-    empty = outer.withColumn("bin", F.lit(0).cast("long")).alias("o").join(inner.where("start >= end").withColumn("bin", F.lit(0).cast("long")).alias("i"), (F.col("o.object_id") == F.col("i.object_id")) & rule)
-    return hits.union(empty)
+    same = F.col("o.object_id") == F.col("i.object_id")
+    if not by_cells:
+        return o.join(i, same & rule) if how == "inner" else i.join(o, same & rule, how)
+    wide = outer.where("start < end").withColumn("cell", own_cell(F.col("start"), F.col("end"))).alias("o")
+    full, empty = inner.where("start < end"), inner.where("start >= end").alias("i")
+    if how == "inner":
+        spread = full.withColumn("cell", F.explode(cells_around(F.col("start"), F.col("end")))).alias("i")
+        hits = wide.join(spread, same & (F.col("o.cell") == F.col("i.cell")) & rule)
+        # an empty range is inside everything of its object
+        void = outer.withColumn("cell", F.lit(None).cast("long")).alias("o").join(inner.where("start >= end").withColumn("cell", F.lit(None).cast("long")).alias("i"), same & rule)
+        return hits.union(void)
+    # what is contained, by number, and then the others
+    numbered = full.withColumn("row", F.monotonically_increasing_id())
+    spread = numbered.withColumn("cell", F.explode(cells_around(F.col("start"), F.col("end")))).alias("i")
+    inside = spread.join(wide, same & (F.col("o.cell") == F.col("i.cell")) & rule, "left_semi").select("row").distinct()
+    return numbered.join(inside, "row", "left_anti").drop("row").union(empty.join(o, same & rule, "left_anti")).alias("i")
 
 
 def normal_ranges(df: DataFrame) -> DataFrame:
@@ -85,8 +123,8 @@ def join_nodes(instances: DataFrame, symbols: DataFrame) -> DataFrame:
 class Graph:
     """The tables of one request: base rows and overlay rows, restricted to the visible layers."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], visible: list[int], overlay: dict[str, list[DataFrame]] | None = None, bin_width: int | None = None):
-        self.spark, self.visible, self.bin_width = spark, list(visible), bin_width
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], visible: list[int], overlay: dict[str, list[DataFrame]] | None = None, by_cells: bool = False):
+        self.spark, self.visible, self.by_cells = spark, list(visible), by_cells
         self.tables = {}
         self.stored_nodes = tables.get("nodes")
         self.overlay_instances = (overlay or {}).get("symbol_instances", [])
@@ -144,52 +182,36 @@ class Graph:
         """
         p = parents.select("instance_id", "symbol_id", "object_id", "start", "end", "level")
         if outer:
-            inside = p.alias("p").join(
-                p.alias("q"),
-                (F.col("p.object_id") == F.col("q.object_id")) & (F.col("p.instance_id") != F.col("q.instance_id")) & contains("q", "p") & differs("p", "q"),
-                "left_anti",
-            )
-            p = inside
-        sites = containment_join(p, self.refs, bin_width=self.bin_width).select(
+            p = containment_join(p, p, (F.col("i.instance_id") != F.col("o.instance_id")) & differs("i", "o"), self.by_cells, "left_anti").select("i.*")
+        sites = containment_join(p, self.refs, by_cells=self.by_cells).select(
             F.col("o.instance_id").alias("from_instance"),
             F.col("o.symbol_id").alias("from_symbol"),
             F.col("o.start").alias("p_start"),
             F.col("o.end").alias("p_end"),
             F.col("o.level").alias("p_level"),
-            "i.*",
-        ).drop("bin")
+            *[F.col(f"i.{c}") for c in self.refs.columns],
+        )
         if direct:
             sites = self._without_container(sites)
         to = self.places.select(F.col("instance_id").alias("to_instance"), F.col("symbol_id").alias("to_symbol"))
         return sites.join(to, "to_symbol").select(*REF_EDGE)
 
     def _without_container(self, sites: DataFrame) -> DataFrame:
-        c, s = "c", "s"
-        blocked = (
-            (F.col("c.object_id") == F.col("s.object_id"))
-            & (F.col("s.p_start") <= F.col("c.start"))
-            & (F.col("s.p_end") >= F.col("c.end"))
-            & ((F.col("c.start") != F.col("s.p_start")) | (F.col("c.end") != F.col("s.p_end")))
-            & (F.col("c.instance_id") != F.col("s.from_instance"))
-            & (F.col("c.level") <= F.col("s.p_level"))
-            & contains(c, s)
+        """Sites (with their parent's ``p_``) that no other node of the parent's level or below holds inside the parent."""
+        between = (
+            ((F.col("o.start") != F.col("i.p_start")) | (F.col("o.end") != F.col("i.p_end")))
+            & (F.col("o.instance_id") != F.col("i.from_instance"))
+            & (F.col("o.level") <= F.col("i.p_level"))
+            # an empty node is in every parent, and holds empty sites alone
+            & (((F.col("i.p_start") <= F.col("o.start")) & (F.col("i.p_end") >= F.col("o.end")) & (F.col("o.start") < F.col("o.end"))) | ((F.col("o.start") >= F.col("o.end")) & (F.col("i.start") >= F.col("i.end"))))
         )
-        void = (
-            # an empty container holds an empty site only
-            (F.col("c.object_id") == F.col("s.object_id"))
-            & (F.col("c.start") >= F.col("c.end"))
-            & (F.col("s.start") >= F.col("s.end"))
-            & ((F.col("c.start") != F.col("s.p_start")) | (F.col("c.end") != F.col("s.p_end")))
-            & (F.col("c.instance_id") != F.col("s.from_instance"))
-            & (F.col("c.level") <= F.col("s.p_level"))
-        )
-        return sites.alias(s).join(self.places.where("start < end").alias(c), blocked, "left_anti").alias(s).join(self.places.where("start >= end").alias(c), void, "left_anti")
+        return containment_join(self.places, sites, between, self.by_cells, "left_anti").select("i.*")
 
     def ref_parents(self, children: DataFrame) -> DataFrame:
         """References to the symbols of ``children``, with every occurrence that contains their sites."""
         to = children.select(F.col("instance_id").alias("to_instance"), F.col("symbol_id").alias("to_symbol"))
         sites = self.refs.join(to, "to_symbol")
-        return containment_join(self.places, sites, bin_width=self.bin_width).select(
+        return containment_join(self.places, sites, by_cells=self.by_cells).select(
             F.col("o.instance_id").alias("from_instance"), F.col("o.symbol_id").alias("from_symbol"), "i.to_instance", "i.to_symbol", "i.ref_id", "i.object_id", "i.start", "i.end"
         )
 
@@ -199,7 +221,7 @@ class Graph:
         to = n.select(F.col("instance_id").alias("to_instance"), F.col("symbol_id").alias("to_symbol"))
         sites = self.refs.join(to, "to_symbol")
         return (
-            containment_join(n, sites, F.col("o.instance_id") != F.col("i.to_instance"), self.bin_width)
+            containment_join(n, sites, F.col("o.instance_id") != F.col("i.to_instance"), self.by_cells)
             .groupBy(F.col("o.instance_id").alias("from_instance"), F.col("o.symbol_id").alias("from_symbol"), "i.to_symbol", "i.ref_id", "i.object_id", "i.start", "i.end")
             .agg(F.min("i.to_instance").alias("to_instance"))
             .select(*REF_EDGE)
@@ -210,13 +232,13 @@ class Graph:
     def has_children(self, parents: DataFrame, direct: bool = False) -> DataFrame:
         """Occurrences inside ``parents`` of no higher level; ``direct``: with nothing between."""
         p = parents.select("instance_id", "symbol_id", "object_id", "start", "end", "level")
-        pairs = self._pairs(containment_join(p, self.places, (F.col("o.level") >= F.col("i.level")) & (F.col("o.instance_id") != F.col("i.instance_id")), self.bin_width))
+        pairs = self._pairs(containment_join(p, self.places, (F.col("o.level") >= F.col("i.level")) & (F.col("o.instance_id") != F.col("i.instance_id")), self.by_cells))
         return self._edges(self._without_middle(pairs, levels=True) if direct else pairs)
 
     def has_parents(self, children: DataFrame, innermost: bool = False) -> DataFrame:
         """Occurrences of no lower level around ``children``; ``innermost``: with nothing between."""
         c = children.select("instance_id", "symbol_id", "object_id", "start", "end", "level")
-        pairs = self._pairs(containment_join(self.places, c, (F.col("o.level") >= F.col("i.level")) & (F.col("o.instance_id") != F.col("i.instance_id")), self.bin_width))
+        pairs = self._pairs(containment_join(self.places, c, (F.col("o.level") >= F.col("i.level")) & (F.col("o.instance_id") != F.col("i.instance_id")), self.by_cells))
         return self._edges(self._without_middle(pairs, levels=False) if innermost else pairs)
 
     @staticmethod
@@ -225,19 +247,21 @@ class Graph:
         return joined.select(F.col("o.object_id"), *[F.col(f"o.{c}").alias(f"p_{c}") for c in cols], *[F.col(f"i.{c}").alias(f"c_{c}") for c in cols])
 
     def _without_middle(self, pairs: DataFrame, levels: bool) -> DataFrame:
-        m, x = (lambda c: F.col(f"m.{c}")), (lambda c: F.col(f"x.{c}"))
-        common = (
-            (m("object_id") == x("object_id"))
-            & ((m("start") != x("p_start")) | (m("end") != x("p_end")))
-            & ((m("start") != x("c_start")) | (m("end") != x("c_end")))
+        """Pairs with nothing between them; ``levels``: nothing of the parent's level or below."""
+        m, x = (lambda c: F.col(f"o.{c}")), (lambda c: F.col(f"i.{c}"))
+        between = (
+            ((m("start") != x("p_start")) | (m("end") != x("p_end")))
+            & ((m("start") != x("start")) | (m("end") != x("end")))
             & (m("instance_id") != x("p_instance_id"))
             & (m("instance_id") != x("c_instance_id"))
+            & (x("p_start") <= m("start"))
+            & (x("p_end") >= m("end"))
         )
         if levels:
-            common = common & (x("p_level") >= m("level"))
-        inside = common & (x("p_start") <= m("start")) & (x("p_end") >= m("end")) & ((x("c_start") >= x("c_end")) | ((m("start") <= x("c_start")) & (m("end") >= x("c_end"))))
+            between = between & (x("p_level") >= m("level"))
         # an empty middle would have to hold an empty child, and differ from it: all empty ranges are equal, so none does
-        return pairs.alias("x").join(self.places.where("start < end").alias("m"), inside, "left_anti")
+        inner = pairs.withColumnsRenamed({"c_start": "start", "c_end": "end"})
+        return containment_join(self.places.where("start < end"), inner, between, self.by_cells, "left_anti").select("i.*").withColumnsRenamed({"start": "c_start", "end": "c_end"})
 
     @staticmethod
     def _edges(pairs: DataFrame) -> DataFrame:
@@ -249,6 +273,34 @@ class Graph:
             (F.col("p_end").cast("long") - F.col("p_start")).alias("parent_span"),
         )
 
+    # what is related to a set, among the nodes of another:
+
+    def symbols_referring(self, to: DataFrame, among: DataFrame, sources: DataFrame | None) -> DataFrame:
+        """``symbol_id`` of those of ``among`` with an occurrence (one of ``sources``, if given) around a reference to a symbol of ``to``."""
+        places = self.places.join(among.select("symbol_id"), "symbol_id", "left_semi")
+        if sources is not None:
+            places = places.join(sources, "instance_id", "left_semi")
+        sites = self.refs.join(to.select(F.col("symbol_id").alias("to_symbol")), "to_symbol", "left_semi")
+        return containment_join(places, sites, by_cells=self.by_cells).select("o.symbol_id").distinct()
+
+    def symbols_referred(self, parents: DataFrame, among: DataFrame, targets: DataFrame | None) -> DataFrame:
+        """``symbol_id`` of those of ``among``, with an occurrence (one of ``targets``, if given), that ``parents`` refer to."""
+        places = self.places.select("symbol_id", "instance_id").join(among.select("symbol_id"), "symbol_id", "left_semi")
+        if targets is not None:
+            places = places.join(targets, "instance_id", "left_semi")
+        wanted = places.select("symbol_id").distinct()
+        sites = self.refs.join(wanted.withColumnRenamed("symbol_id", "to_symbol"), "to_symbol", "left_semi")
+        p = parents.select("instance_id", "symbol_id", "object_id", "start", "end", "level")
+        return containment_join(p, sites, by_cells=self.by_cells).select(F.col("i.to_symbol").alias("symbol_id")).distinct()
+
+    def _sees(self, nodes: DataFrame) -> DataFrame:
+        return nodes.where(F.col("layer").isin(self.visible) if self.visible else F.lit(False)).select("instance_id", "symbol_id", "object_id", "start", "end", "level")
+
+    def around(self, outer: DataFrame, inner: DataFrame) -> DataFrame:
+        """``up`` and ``down``: instances of ``outer`` and those of ``inner`` that they contain, of no higher level."""
+        pairs = containment_join(self._sees(outer), self._sees(inner), (F.col("o.level") >= F.col("i.level")) & (F.col("o.instance_id") != F.col("i.instance_id")), self.by_cells)
+        return pairs.select(F.col("o.instance_id").alias("up"), F.col("i.instance_id").alias("down"))
+
     # derivation:
 
     def derive_children(self, parents: DataFrame, refs: bool, has: bool, direct: bool = True) -> DataFrame:

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.storage import settle
+from spanforge.storage import local, settle
 
 
 @dataclass
@@ -95,7 +95,7 @@ class Layers:
             kept, n = settle(df)
             if n:
                 spread = kept.withColumn("layer", F.lit(layer.id).cast("long"))
-                layer.rows[table] = spread if "id" in kept.columns else _number(spread, self.fresh(table, n))
+                layer.rows[table] = spread if "id" in kept.columns else number(spread, self.fresh(table, n))
         self.by_hash[key] = self.by_id[layer.id] = layer
         return layer
 
@@ -134,12 +134,19 @@ class Layers:
         self.by_id.clear()
 
 
-def _number(df: DataFrame, first: int) -> DataFrame:
-    """Ids first, first - 1, .. in the order of all columns."""
-    from pyspark.sql import Window
-
-    order = Window.orderBy(*[F.col(f"`{c}`") for c in df.columns])
-    numbered = df.withColumn("id", (F.lit(first + 1) - F.row_number().over(order)).cast("long"))
+def number(df: DataFrame, first: int) -> DataFrame:
+    """Ids first, first - 1, .. in the order of all columns: ranks inside the parts of a range sort, and how many rows come before a part."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    ordered = settle(df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("at", F.monotonically_increasing_id()))[0]
+    part = F.shiftright("at", 33)
+    sizes = ordered.groupBy(part.alias("part")).count().orderBy("part").collect()  # a row for each part
+    before, total = [], 0
+    for r in sizes:
+        before.append((r.part, total))
+        total += r["count"]
+    starts = local(df.sparkSession, before, "part long, before long")
+    rank = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = ordered.withColumn("part", part).join(starts, "part").withColumn("id", (F.lit(first) - rank).cast("long"))
     return settle(numbered.select("id", *df.columns))[0]
 
 

@@ -60,7 +60,7 @@ def has_edges(graph: Graph, nodes: DataFrame) -> DataFrame:
     from spanforge.operators.graph import containment_join
 
     n = nodes.select("instance_id", "symbol_id", "object_id", "start", "end", "level").distinct()
-    pairs = containment_join(n, n, (F.col("o.level") >= F.col("i.level")) & (F.col("o.instance_id") != F.col("i.instance_id")), graph.bin_width)
+    pairs = containment_join(n, n, (F.col("o.level") >= F.col("i.level")) & (F.col("o.instance_id") != F.col("i.instance_id")), graph.by_cells)
     span = (F.col("o.end").cast("long") - F.col("o.start")).alias("parent_span")
     flat = pairs.select(F.col("o.instance_id").alias("parent_instance"), F.col("o.symbol_id").alias("parent_symbol"), F.col("i.instance_id").alias("child_instance"), F.col("i.symbol_id").alias("child_symbol"), span)
     best = flat.groupBy("child_instance", "child_symbol").agg(F.min(F.struct("parent_span", "parent_instance", "parent_symbol")).alias("b"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from spanforge.functions import names
 from spanforge.operators import search as content
 from spanforge.operators.graph import NODE, NODE_SCHEMA, Graph
-from spanforge.operators.layers import Activation, Chain, Layer, Layers, digest
+from spanforge.operators.layers import Activation, Chain, Layer, Layers, digest, number
 from spanforge.plans import verbs as V
 from spanforge.plans.parser import QueryError
 from spanforge.plans.statements import CHILD, PARENT, USER, Statement, read, walk
@@ -376,19 +376,30 @@ class Run:
                 if not n:
                     raise QueryError(f"loc: no file that matches {v.path!r} has a line {v.line}", v.start, v.end)
                 name = f"loc:{v.path}:{v.line}"
-            per_file = isinstance(v, V.Loc)
-            here = [r.project_id for r in found.select("project_id").distinct().collect()]  # projects at most
+            here = {r.project_id: r.files for r in found.groupBy("project_id").agg(F.countDistinct("object_id").alias("files")).collect()}  # projects at most
             for p in sorted(set(here) & set(chain.roots)):
                 own = found.where(F.col("project_id") == p)
-                objects = [r.object_id for r in own.select("object_id").orderBy("object_id").collect()] if per_file else [None]
-                for obj in objects:
-                    symbol = self.index.layers.fresh("symbols")
-                    self._symbol(base[p], symbol, name, p, CONTENT, None)
-                    part = own if obj is None else own.where(F.col("object_id") == obj)
-                    base[p].setdefault("symbol_instances", []).append(part.select(F.lit(symbol).cast("long").alias("symbol"), "object_id", "start", "end", F.lit(1).alias("instance_type")))
+                # one symbol for all that a search finds, one for each file of a line
+                n = here[p] if isinstance(v, V.Loc) else 1
+                first = self.index.layers.fresh("symbols", n)
+                self._symbols(base[p], first, n, name, p)
+                if n > 1:
+                    files = own.select("object_id").distinct()
+                    own = own.join(number(files, first).withColumnRenamed("id", "symbol"), "object_id")
+                else:
+                    own = own.withColumn("symbol", F.lit(first).cast("long"))
+                base[p].setdefault("symbol_instances", []).append(own.select("symbol", "object_id", "start", "end", F.lit(1).alias("instance_type")))
         fold = lambda x: {p: {t: _union(dfs) for t, dfs in tables.items()} for p, tables in x.items()}
         return fold(base), fold(extra), cut
 
+    def _symbols(self, out: dict, first: int, n: int, name: str, project: int) -> None:
+        """n content symbols of one name: ids from ``first`` down."""
+        path = names.path_of(name, CONTENT)
+        rows = self.spark.range(n).select(
+            (F.lit(first) - F.col("id")).alias("id"), F.lit(name).alias("name"), F.array(*map(F.lit, path)).alias("symbol_path"), F.lit(project).alias("project_id"), F.lit(CONTENT).alias("symbol_type"), F.lit(None).cast("int").alias("symbol_scope"), F.lit(path[-1]).alias("leaf_name")
+        )
+        out.setdefault("symbols", []).append(rows)
+
     def _symbol(self, out: dict, id_: int, name: str, project: int, kind: int, scope: int | None) -> None:
         path = names.path_of(name, kind)
         row = (id_, name, path, project, kind, scope or None, path[-1])
@@ -556,32 +567,32 @@ class Run:
         return True
 
     def _by_child(self, own: Selection, child: Selection, relation: int) -> tuple[DataFrame | None, DataFrame | None]:
-        """Symbols that refer to, and instances that contain, what is now in ``child``."""
-        symbols = instances = None
+        """Symbols that refer to, and instances that contain, what is now in ``child``; of ``own`` alone."""
+        symbols, instances = [], []
         now = child.nodes.df
-        if relation & REFS:
-            edges = [e for e in (p.parents() for p in child.parts) if e is not None]
-            if edges:
-                symbols = _union(edges).join(now.select(F.col("symbol_id").alias("to_symbol")), "to_symbol", "left_semi").select(F.col("from_symbol").alias("symbol_id"))
-        if relation & HAS:
-            edges = [p.graph.has_parents(p.origin.df) for p in child.parts if p.origin.count]
-            if edges:
-                instances = _union(edges).join(now.select(F.col("instance_id").alias("child_instance")), "child_instance", "left_semi").select(F.col("parent_instance").alias("instance_id"))
-        return symbols, instances
+        for p in child.parts:
+            if relation & REFS and p.forced is not None:
+                symbols.append(p.parents().join(now.select(F.col("symbol_id").alias("to_symbol")), "to_symbol", "left_semi").select(F.col("from_symbol").alias("symbol_id")))
+            elif relation & REFS and p.above is not SKIP and p.origin.count:
+                to = now.select("symbol_id").join(p.origin.df.select("symbol_id"), "symbol_id", "left_semi")
+                symbols.append(p.graph.symbols_referring(to, own.nodes.df, None if p.above is None else p.above.instances(p.graph)))
+            if relation & HAS and p.origin.count:
+                here = now.join(p.origin.df.select("instance_id"), "instance_id", "left_semi")
+                instances.append(p.graph.around(own.nodes.df, here).select(F.col("up").alias("instance_id")))
+        return _union(symbols) if symbols else None, _union(instances) if instances else None
 
     def _by_parent(self, own: Selection, parent: Selection, relation: int) -> tuple[DataFrame | None, DataFrame | None]:
-        """Symbols that are referred to by, and instances that lie in, what is now in ``parent``."""
-        symbols = instances = None
+        """Symbols that are referred to by, and instances that lie in, what is now in ``parent``; of ``own`` alone."""
+        symbols, instances = [], []
         now = parent.nodes.df
-        if relation & REFS:
-            edges = [e for e in (p.children() for p in parent.parts) if e is not None]
-            if edges:
-                symbols = _union(edges).join(now.select(F.col("symbol_id").alias("from_symbol")), "from_symbol", "left_semi").select(F.col("to_symbol").alias("symbol_id"))
-        if relation & HAS:
-            edges = [p.graph.has_children(p.origin.df) for p in parent.parts if p.origin.count]
-            if edges:
-                instances = _union(edges).join(now.select(F.col("instance_id").alias("parent_instance")), "parent_instance", "left_semi").select(F.col("child_instance").alias("instance_id"))
-        return symbols, instances
+        for p in parent.parts:
+            if relation & REFS and p.below is not SKIP and p.origin.count:
+                from_ = p.origin.df.join(now.select("symbol_id"), "symbol_id", "left_semi")
+                symbols.append(p.graph.symbols_referred(from_, own.nodes.df, None if p.below is None else p.below.instances(p.graph)))
+            if relation & HAS and p.origin.count:
+                here = now.join(p.origin.df.select("instance_id"), "instance_id", "left_semi")
+                instances.append(p.graph.around(here, own.nodes.df).select(F.col("down").alias("instance_id")))
+        return _union(symbols) if symbols else None, _union(instances) if instances else None
 
     # results:
 

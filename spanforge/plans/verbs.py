@@ -40,6 +40,13 @@ class Predicate:
         return Predicate(fold([p.node for p in known if p.node is not None]), fold([p.project for p in known if p.project is not None]))
 
 
+def either(parts: "list[Column | None]") -> Column | None:
+    """OR: one part without an opinion lets everything through; no part at all, nothing."""
+    if any(p is None for p in parts):
+        return None
+    return reduce(lambda a, b: a | b, parts, F.lit(False))
+
+
 def negate(c: Column | None) -> Column | None:
     return None if c is None else ~c
 
@@ -187,7 +194,6 @@ class TypeSelector(Verb):
         wanted = flag("inherit")
         self.inherit = (self.pattern is None) if wanted is None else wanted
         self.anchored = not (("match" in node.named and node.named["match"].plain() == "contains") or names.dot_separates(self.type))
-        self.contains = "match" in node.named and node.named["match"].plain() == "contains"
         self.token = self.pattern if isinstance(self.pattern, str) else None
         self.selects = not (self.filter_only and self.pattern is None and self.inherit)
         self.tag = "type_filter" if self.filter_only and self.pattern is not None else None
@@ -283,7 +289,7 @@ class Filter(Verb):
 
     def predicate(self) -> Predicate:
         if self.kind == "type":
-            return Predicate(F.col("symbol_type").isin(self.types))
+            return Predicate(either([F.col("symbol_type") == t for t in self.types]))
         if self.kind == "exact_name":
             return Predicate(self.pattern.full_predicate() if isinstance(self.pattern, names.Glob) else F.col("name") == self.pattern)
         return Predicate(self.pattern.predicate(True, True) if isinstance(self.pattern, names.Glob) else compound_predicate(self.pattern))

@@ -73,6 +73,8 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     project = F.col("project")
     symbols = (
         symbol(places, DIRECTORY, project, F.col("n_nationkey"), place_path)
+        .union(symbol(region, DIRECTORY, F.col("r_regionkey") + 1, F.lit(1000), F.concat(F.lit("/"), "r_name", F.lit("/docs"))))
+        .union(symbol(region, DIRECTORY, F.col("r_regionkey") + 1, F.lit(1001), F.concat(F.lit("/"), "r_name", F.lit("/docs/all"))))
         .union(symbol(who, FILE, project, F.col("c_custkey"), F.col("path")))
         .union(symbol(placed, FUNCTION, project, F.col("o_orderkey"), order_name))
         .union(symbol(lines, DATA, project, line_no, F.concat(order_name, F.lit(".line_"), F.col("k").cast("string"))))
@@ -113,7 +115,7 @@ def _path_sql(name: str, dots: bool) -> str:
 
 
 def _sid(project: str, local: str) -> str:
-    return f"(CAST({project} AS BIGINT) * {1 << LOCAL_BITS} + {local})"
+    return f"(CAST(({project}) AS BIGINT) * {1 << LOCAL_BITS} + {local})"
 
 
 #: common table expressions of the same views; ``nodes`` joins instances with their symbols
@@ -132,6 +134,7 @@ g_objects AS (
 g_symbols AS (
   SELECT id, name, CASE WHEN symbol_type IN ({FILE}, {DIRECTORY}) THEN {_path_sql("name", False)} ELSE {_path_sql("name", True)} END AS path, project_id, symbol_type, CASE symbol_type WHEN {DIRECTORY} THEN 5 WHEN {FILE} THEN 3 ELSE 2 END AS level FROM (
     SELECT {_sid("project", f"n_nationkey + {LOCAL[DIRECTORY]}")} AS id, path AS name, project AS project_id, {DIRECTORY} AS symbol_type FROM places
+    UNION ALL SELECT {_sid("r_regionkey + 1", f"1000 + k + {LOCAL[DIRECTORY]}")}, '/' || r_name || CASE k WHEN 0 THEN '/docs' ELSE '/docs/all' END, r_regionkey + 1, {DIRECTORY} FROM region CROSS JOIN (VALUES (0), (1)) AS two(k)
     UNION ALL SELECT {_sid("project", f"c_custkey + {LOCAL[FILE]}")}, path, project, {FILE} FROM who
     UNION ALL SELECT {_sid("project", f"o_orderkey + {LOCAL[FUNCTION]}")}, c_name || '.order_' || o_orderkey, project, {FUNCTION} FROM placed
     UNION ALL SELECT {_sid("project", f"line_no + {LOCAL[DATA]}")}, c_name || '.order_' || l_orderkey || '.line_' || k, project, {DATA} FROM lines

@@ -96,6 +96,17 @@ def test_globs():
             names.Glob(bad)
 
 
+def test_predicates_without_an_opinion(spark):
+    from spanforge.plans.verbs import Predicate, either, negate
+
+    df = spark.range(6).toDF("x")
+    low, high = F.col("x") < 2, F.col("x") > 3
+    got = lambda c: {r.x for r in df.where(c).collect()}
+    assert got(either([low, high])) == {0, 1, 4, 5} and got(either([])) == set() and either([low, None]) is None
+    assert negate(None) is None and got(negate(either([low, high]))) == {2, 3}
+    assert got(Predicate.both([Predicate(low), None, Predicate()]).node) == {0, 1} and Predicate.both([None]).empty
+
+
 def test_word_similarity():
     assert similarity.word_similarity("word", "two words") == pytest.approx(0.8)
     assert similarity.word_similarity("foo", "foo") == 1.0
@@ -189,22 +200,22 @@ def test_compact_chain(spark):
 def test_joins_of_random_forests(spark):
     rng = random.Random(5)
     level = {1: 2, 2: 3, 3: 4, 4: 5, 8: 1}
-    for trial in range(2):
+    for scale in (1, 97, 20_000_011):
         b = fixtures.Build("p").object(1, "/x").object(2, "/y")
         nodes, refs = [], []
         for i in range(1, 41):
-            lo = rng.randint(0, 40)
-            hi = lo + rng.choice([0, 0, 5, 10, 20, 40])
+            lo = rng.randint(0, 40) * scale
+            hi = lo + rng.choice([0, 0, 5, 10, 20, 40]) * scale
             obj, kind = rng.randint(1, 2), rng.choice(list(level))
             b.node(i, f"n{i}", lo, hi, obj, kind)
             nodes.append((i, obj, *((0, 0) if lo >= hi else (lo, hi)), level[kind]))
         for k in range(25):
-            lo = rng.randint(0, 70)
-            hi = lo + rng.choice([0, 2, 6])
+            lo = rng.randint(0, 70) * scale
+            hi = lo + rng.choice([0, 2, 6]) * scale
             obj, to = rng.randint(1, 2), rng.randint(1, 40)
             b.ref(lo, hi, to, obj)
             refs.append((k + 1, obj, *((0, 0) if lo >= hi else (lo, hi)), to))
-        g = b.index(spark).graph()
+        index = b.index(spark)
 
         def inside(p, c):  # (id, object, start, end, ..)
             return p[1] == c[1] and (c[2] >= c[3] or (p[2] <= c[2] and p[3] >= c[3] and p[2] < p[3]))
@@ -213,29 +224,32 @@ def test_joins_of_random_forests(spark):
             return x[2:4] != y[2:4]
 
         some = [n for n in nodes if n[0] % 2]
-        chosen = g.select(F.col("instance_id") % 2 == 1)
         pairs = [(p, c) for p in some for c in nodes if inside(p, c) and p[4] >= c[4] and p[0] != c[0]]
         between = lambda p, c, lv: any(inside(p, m) and inside(m, c) and differ(m, p) and differ(m, c) and m[0] not in (p[0], c[0]) and (not lv or p[4] >= m[4]) for m in nodes)
-        pick = lambda df: sorted((r.parent_instance, r.child_instance) for r in df.collect())
-        assert pick(g.has_children(chosen)) == sorted((p[0], c[0]) for p, c in pairs)
-        assert pick(g.has_children(chosen, direct=True)) == sorted((p[0], c[0]) for p, c in pairs if not between(p, c, True))
-        up = [(p, c) for c in some for p in nodes if inside(p, c) and p[4] >= c[4] and p[0] != c[0]]
-        assert pick(g.has_parents(chosen)) == sorted((p[0], c[0]) for p, c in up)
-        assert pick(g.has_parents(chosen, innermost=True)) == sorted((p[0], c[0]) for p, c in up if not between(p, c, False))
-        sites = [(p, r) for p in some for r in refs if inside(p, r)]
-        blocked = lambda p, r: any(inside(p, m) and inside(m, r) and differ(m, p) and m[0] != p[0] and m[4] <= p[4] for m in nodes)
-        outer = lambda p: not any(q[0] != p[0] and inside(q, p) and differ(q, p) for q in some)
-        pick = lambda df: sorted((r.from_instance, r.ref_id) for r in df.collect())
-        assert pick(g.ref_children(chosen)) == sorted((p[0], r[0]) for p, r in sites)
-        assert pick(g.ref_children(chosen, direct=True)) == sorted((p[0], r[0]) for p, r in sites if not blocked(p, r))
-        assert pick(g.ref_children(chosen, outer=True)) == sorted((p[0], r[0]) for p, r in sites if outer(p))
-        odd = {n[0] for n in some}
-        assert pick(g.ref_parents(chosen)) == sorted((p[0], r[0]) for p in nodes for r in refs if r[4] in odd and inside(p, r))
-        assert pick(g.edges_between(chosen)) == sorted((p[0], r[0]) for p in some for r in refs if r[4] in odd and inside(p, r) and r[4] != p[0])
-        g = type(g)(spark, g.tables, g.visible, bin_width=7)
-        chosen = g.select(F.col("instance_id") % 2 == 1)
-        pick = lambda df: sorted((r.parent_instance, r.child_instance) for r in df.collect())
-        assert pick(g.has_children(chosen)) == sorted((p[0], c[0]) for p, c in pairs)
+        for by_cells in (False, True):
+            base = index.graph()
+            g = type(base)(spark, base.tables, base.visible, by_cells=by_cells)
+            chosen = g.select(F.col("instance_id") % 2 == 1)
+            pick = lambda df: sorted((r.parent_instance, r.child_instance) for r in df.collect())
+            assert pick(g.has_children(chosen)) == sorted((p[0], c[0]) for p, c in pairs)
+            assert pick(g.has_children(chosen, direct=True)) == sorted((p[0], c[0]) for p, c in pairs if not between(p, c, True))
+            up = [(p, c) for c in some for p in nodes if inside(p, c) and p[4] >= c[4] and p[0] != c[0]]
+            assert pick(g.has_parents(chosen)) == sorted((p[0], c[0]) for p, c in up)
+            assert pick(g.has_parents(chosen, innermost=True)) == sorted((p[0], c[0]) for p, c in up if not between(p, c, False))
+            sites = [(p, r) for p in some for r in refs if inside(p, r)]
+            blocked = lambda p, r: any(inside(p, m) and inside(m, r) and differ(m, p) and m[0] != p[0] and m[4] <= p[4] for m in nodes)
+            outer = lambda p: not any(q[0] != p[0] and inside(q, p) and differ(q, p) for q in some)
+            pick = lambda df: sorted((r.from_instance, r.ref_id) for r in df.collect())
+            assert pick(g.ref_children(chosen)) == sorted((p[0], r[0]) for p, r in sites)
+            assert pick(g.ref_children(chosen, direct=True)) == sorted((p[0], r[0]) for p, r in sites if not blocked(p, r))
+            assert pick(g.ref_children(chosen, outer=True)) == sorted((p[0], r[0]) for p, r in sites if outer(p))
+            odd = {n[0] for n in some}
+            assert pick(g.ref_parents(chosen)) == sorted((p[0], r[0]) for p in nodes for r in refs if r[4] in odd and inside(p, r))
+            assert pick(g.edges_between(chosen)) == sorted((p[0], r[0]) for p in some for r in refs if r[4] in odd and inside(p, r) and r[4] != p[0])
+            around = g.around(g.select(), chosen)
+            assert sorted((r.up, r.down) for r in around.collect()) == sorted((p[0], c[0]) for p, c in up)
+            assert {r.symbol_id for r in g.symbols_referring(chosen, g.select(), None).collect()} == {p[0] for p in nodes for r in refs if r[4] in odd and inside(p, r)}
+            assert {r.symbol_id for r in g.symbols_referred(chosen, g.select(), None).collect()} == {r[4] for p, r in sites}
 
 
 # results:
