@@ -13,29 +13,31 @@ from spanforge.operators import results, search, tree
 from spanforge.operators.graph import Graph
 from spanforge.operators.layers import Chain, Layers
 from spanforge.plans.engine import Result, Run
+from spanforge.plans.limits import time_limit
 from spanforge.schema import TABLES
 
 
 class Index:
     """``tables``: a DataFrame for each of ``schema.TABLES`` (missing ones are empty), and ``nodes`` where it is stored."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], by_cells: bool = False, cache_results: int = 64):
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], by_cells: bool = False, cache_results: int = 64, layers_path: str | None = None):
         self.spark, self.by_cells = spark, by_cells
         self.tables = {name: tables[name] if name in tables else spark.createDataFrame([], schema) for name, schema in TABLES.items()}
         if "nodes" in tables:
             self.tables["nodes"] = tables["nodes"]
-        self.layers = Layers()
+        self.layers = Layers(spark, layers_path)
         self._roots: dict[int, int] | None = None
         self._graphs: dict[tuple, Graph] = {}
         self._results: dict[str, Result] = {}
         self._cache_results = cache_results
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, **how) -> "Index":
-        """Tables stored as Parquet under ``path`` (see sources.store)."""
+    def load(cls, spark: SparkSession, path: str, keep_layers: bool = False, **how) -> "Index":
+        """Tables stored as Parquet under ``path`` (see sources.store); ``keep_layers``: overlay layers are stored there too."""
         from spanforge.sources.store import has_large_objects, read_tables
 
-        return cls(spark, read_tables(spark, path), **{"by_cells": has_large_objects(spark, path)} | how)
+        known = {"by_cells": has_large_objects(spark, path), "layers_path": f"{path}/layers" if keep_layers else None}
+        return cls(spark, read_tables(spark, path), **known | how)
 
     def changed(self) -> None:
         """Forget what was derived from the tables; to call after they have changed."""
@@ -68,7 +70,8 @@ class Index:
         """Nodes and edges of a query; the results of the last queries are kept until the tables change."""
         found = self._results.pop(query, None)
         if found is None:
-            found = Run(self, query, timeout).execute()
+            with time_limit(self.spark, timeout):
+                found = Run(self, query, timeout).execute()
             if found.activations:  # layers may be purged
                 return found
         self._results[query] = found
@@ -78,9 +81,13 @@ class Index:
 
     def ask(self, query: str, form: str = "json", projection: str = "names", limit: int = 100, timeout: float | None = 5.0) -> str:
         """A query's first ``limit`` symbols as JSON or Markdown."""
+        with time_limit(self.spark, timeout):
+            return self._shown(query, form, projection, limit)
+
+    def _shown(self, query: str, form: str, projection: str, limit: int) -> str:
         from spanforge import render
 
-        graph = to_graph(self.query(query, timeout), limit)
+        graph = to_graph(self.query(query), limit)
         if form == "json":
             return render.to_json(graph)
         if form != "markdown":

@@ -3,7 +3,10 @@
 Root layers have ids above 0, overlay layers below.  A layer belongs to one root;
 the layers of a root form a chain in the order in which statements made them.  A
 layer is found again by a hash of its inputs, so a repeated statement makes no
-rows anew.  The registry lives with the driver; the rows are DataFrames.
+rows anew.  The registry lives with the driver, the rows are DataFrames; with a
+``path``, layers are also written there and found again by later sessions.  A
+layer's manifest is written last: one that was broken off is not there.  One
+session at a time writes to a path.
 """
 
 from __future__ import annotations
@@ -12,10 +15,10 @@ import hashlib
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.storage import local, settle
+from spanforge.storage import drop_path, local, settle
 
 
 @dataclass
@@ -68,13 +71,47 @@ class Chain:
                 self.added[layer.root].append(layer.id)
 
 
+MANIFEST = "id long, hash string, root long, parent long, base long, truncated boolean, needs array<long>, used double, tables array<string>, next map<string, long>"
+
+
 class Layers:
     """The registry of all overlay layers of an index."""
 
-    def __init__(self) -> None:
+    def __init__(self, spark: SparkSession | None = None, path: str | None = None) -> None:
         self.by_hash: dict[str, Layer] = {}
         self.by_id: dict[int, Layer] = {}
         self._next = {"layer": 0, "symbols": 0, "symbol_instances": 0, "symbol_refs": 0}
+        self.spark, self.path = spark, path
+        if path is not None:
+            self._load()
+
+    def _load(self) -> None:
+        """The layers that earlier sessions wrote."""
+        from pyspark.errors import AnalysisException
+
+        try:
+            found = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/*/manifest").collect()  # a row for each layer
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return
+        for r in found:
+            rows = {t: self.spark.read.parquet(f"{self.path}/{-r.id}/{t}") for t in r.tables}
+            self.by_hash[r.hash] = self.by_id[r.id] = Layer(r.id, r.root, r.parent, r.base, r.truncated, rows, set(r.needs), r.used)
+            self._next = {k: min(n, r.next[k]) for k, n in self._next.items()}
+
+    def _store(self, key: str, layer: Layer) -> None:
+        at = f"{self.path}/{-layer.id}"
+        for table, df in list(layer.rows.items()):
+            df.write.mode("overwrite").parquet(f"{at}/{table}")
+            layer.rows[table] = self.spark.read.schema(df.schema).parquet(f"{at}/{table}")
+        row = (layer.id, key, layer.root, layer.parent, layer.base, layer.truncated, sorted(layer.needs), layer.used, list(layer.rows), dict(self._next))
+        local(self.spark, [row], MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{at}/manifest")
+
+    def _forget(self, ids: "set[int] | None" = None) -> None:
+        if self.path is not None:
+            for at in [self.path] if ids is None else [f"{self.path}/{-i}" for i in ids]:
+                drop_path(self.spark, at)
 
     def fresh(self, kind: str, n: int = 1) -> int:
         """The first of n new ids; ids go down from -1."""
@@ -96,6 +133,8 @@ class Layers:
             if n:
                 spread = kept.withColumn("layer", F.lit(layer.id).cast("long"))
                 layer.rows[table] = spread if "id" in kept.columns else number(spread, self.fresh(table, n))
+        if self.path is not None:
+            self._store(key, layer)
         self.by_hash[key] = self.by_id[layer.id] = layer
         return layer
 
@@ -122,6 +161,7 @@ class Layers:
         for i in gone:
             self.by_id.pop(i)
         self.by_hash = {k: x for k, x in self.by_hash.items() if x.id not in gone}
+        self._forget(gone)
         return gone
 
     def purge(self, ttl: float, now: float | None = None) -> set[int]:
@@ -132,6 +172,7 @@ class Layers:
     def clear(self) -> None:
         self.by_hash.clear()
         self.by_id.clear()
+        self._forget()
 
 
 def number(df: DataFrame, first: int) -> DataFrame:

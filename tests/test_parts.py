@@ -274,6 +274,16 @@ def test_shown_results(spark):
 def test_time_limit(spark):
     with pytest.raises(QueryError):
         fixtures.a(spark).query('"a" {}', timeout=1e-9)
+    import time
+
+    from spanforge.plans.limits import time_limit
+
+    began = time.monotonic()
+    with pytest.raises(QueryError), time_limit(spark, 1.0):
+        spark.range(0, 1 << 40, 1, 4).selectExpr("sum(id % 7)").collect()  # hours of work
+    assert time.monotonic() - began < 20
+    with time_limit(spark, 60):
+        assert spark.range(5).count() == 5
 
 
 def test_closure(spark):
@@ -392,6 +402,28 @@ def test_stored_projects_come_and_go(spark, tmp_path):
     assert all(df.count() == 0 for name, df in read_tables(spark, at).items() if name not in ("content_store", "object_contents"))
 
 
+def test_layers_outlive_the_session(spark, tmp_path):
+    from spanforge.index import Index
+
+    at = str(tmp_path)
+    write_tables(fixtures.verb(spark).tables, at)
+    q = 'layer { ephemeral_ref(from_object="1", to_symbol="4", end="916", start="915") }; "foo" { "tar" }'
+    first = Index.load(spark, at, keep_layers=True).query(q)
+    again = Index.load(spark, at, keep_layers=True)
+    second = again.query(q)
+    assert [(x.layer, x.created) for x in second.activations] == [(x.layer, False) for x in first.activations]
+    rows = lambda r: sorted((x.instance_id, x.layer) for x in r.nodes.collect())
+    assert rows(first) == rows(second) != []
+    # one that was broken off isn't there
+    import shutil
+
+    shutil.rmtree(tmp_path / "layers" / str(-first.activations[0].layer) / "manifest")
+    broken = Index.load(spark, at, keep_layers=True).query(q)
+    assert broken.activations[0].created and rows(broken) == rows(first)
+    assert Index.load(spark, at, keep_layers=True).purge_layers(ttl=-10)
+    assert not list((tmp_path / "layers").glob("*/manifest"))
+
+
 def message(fields):
     """Fields (number, value) in the wire format; a list of fields is a message."""
 
