@@ -76,7 +76,11 @@ def smallest_hashes(df: DataFrame, n: int, *columns: str, by: str | None = None)
     upto = Window.partitionBy(group).orderBy(at)
     before = F.coalesce(F.sum("count").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     border = seen.withColumn(rank, before).where(F.col(rank) < n).groupBy(group).agg(F.max(at).alias(last))  # a row for each value of `by`
-    own = hashed.join(F.broadcast(border.withColumnRenamed(group, rank)), F.col(group).eqNullSafe(F.col(rank)), "inner").where(cell <= F.col(last)).drop(rank, last)
+    if by is None:
+        end = border.first()
+        own = hashed.where(cell <= (end[last] if end else 0))
+    else:
+        own = hashed.join(F.broadcast(border.withColumnRenamed(group, rank)), F.col(group).eqNullSafe(F.col(rank)), "inner").where(cell <= F.col(last)).drop(rank, last)
     first = Window.partitionBy(group).orderBy(at, *columns)
     return own.withColumn(rank, F.row_number().over(first)).where(F.col(rank) <= n).drop(rank, at, group)
 

@@ -79,7 +79,7 @@ def _strip(docs: DataFrame, lines: DataFrame, min_chars: int, limit: int, text:
     spark = docs.sparkSession
     if lines.count() > limit:
         return _strip_by_join(docs, lines, min_chars, text, removed)
-    found = lines.toPandas().sort_values(["h", "g"])
+    found = lines.toArrow().to_pandas().sort_values(["h", "g"])
     h, g = found["h"].to_numpy(np.int64), found["g"].to_numpy(np.int64)
     keeper = found["keeper"].astype("Int64").fillna(-(2**63)).to_numpy(np.int64)
     most = int(np.unique(h, return_counts=True)[1].max(initial=1))  # lines that share their first 64 bits

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm.bytescan import Tokens, ngram_hash
-from spanforge.llm.common import keep_rows, map_texts, pieces, smallest_hashes
+from spanforge.llm.common import cut, keep_rows, map_texts, pieces, smallest_hashes
 
 BUCKET_BITS = 20
 #: mean nats per n-gram under which a document is rejected
@@ -69,21 +69,12 @@ def kept(score: np.ndarray, least: np.ndarray, threshold: float, floor: float) -
 
 def _target_ids(labels: DataFrame, limit: int) -> np.ndarray:
     good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("i")).distinct()
-    ids = smallest_hashes(good, limit, "i").toPandas()["i"].to_numpy(np.int64)
+    ids = smallest_hashes(good, limit, "i").toArrow().to_pandas()["i"].to_numpy(np.int64)
     return np.sort(ids)
 
 
-def log_ratio(raw: np.ndarray, target: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
-    """Log ratio of the two smoothed multinomials by bucket; 0 everywhere without a target."""
-    if target.sum() == 0:
-        return np.zeros(len(raw), np.float32)
-    share = target.sum() / raw.sum()
-    some = max(smoothing, 1 / share)
-    return np.log((target / share + some) / (raw + some)).astype(np.float32)
-
-
 def fit(docs: DataFrame, labels: DataFrame, bits: int = BUCKET_BITS, target_limit: int = TARGET_LIMIT) -> np.ndarray:
-    """The log ratio of each bucket: counts over all documents, 2**bits rows to the driver."""
+    """The log ratio of each bucket, counted over all documents; 0 everywhere without a target."""
     spark = docs.sparkSession
     trusted = spark.sparkContext.broadcast(_target_ids(labels, target_limit))  # target_limit ids at most
 
@@ -104,10 +95,16 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BUCKET_BITS, target_limi
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, "bucket long, raw long, target long")
-    found = rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
-    raw[found["bucket"]], target[found["bucket"]] = found["raw"], found["target"]
-    return log_ratio(raw, target)
+    counts = cut(rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))
+    every, good = counts.agg(F.sum("raw"), F.sum("target")).first()
+    ratio = np.zeros(1 << bits, np.float32)
+    if good:
+        share = good / every
+        some = max(SMOOTHING, 1 / share)
+        value = F.log((F.col("target") / share + some) / (F.col("raw") + some)).cast("float")
+        found = counts.select(F.col("bucket").cast("int").alias("bucket"), value.alias("value")).toArrow()  # 2**bits rows at most
+        ratio[found.column("bucket").to_numpy()] = found.column("value").to_numpy()
+    return ratio
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, floor: float = FLOOR, **how) -> DataFrame:

@@ -149,7 +149,7 @@ def shard(docs: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> Data
     groups = cut(rows.groupBy("group_key").agg(F.sum("n").alias("group_bytes"), F.count("*").alias("copies")))
     unit = F.greatest(F.ceil(F.col("group_bytes") / grain), F.lit(1)).cast("long")
     room = capacity // grain
-    sizes = groups.select(F.least(unit, F.lit(room + 1)).alias("u")).groupBy("u").count().orderBy(F.desc("u")).toPandas()  # room + 1 rows at most
+    sizes = groups.select(F.least(unit, F.lit(room + 1)).alias("u")).groupBy("u").count().orderBy(F.desc("u")).toArrow().to_pandas()  # room + 1 rows at most
     large = int(sizes.loc[sizes["u"] > room, "count"].sum())  # each has a shard of its own
     runs, _ = plan([(int(u), int(c)) for u, c in zip(sizes["u"], sizes["count"]) if u <= room], room)
     table = np.array(runs, np.int64).reshape(-1, 4)
@@ -158,7 +158,7 @@ def shard(docs: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> Data
     # numbers in order of size: rank inside a partition of a range sort, and how many come before the partition
     ordered = cut(groups.withColumn("u", unit).repartitionByRange(F.desc("u"), "group_key").sortWithinPartitions(F.desc("u"), "group_key").withColumn("at", F.monotonically_increasing_id()))
     part = F.shiftright("at", 33)
-    before = ordered.groupBy(part.alias("p")).count().orderBy("p").toPandas()  # a row for each partition
+    before = ordered.groupBy(part.alias("p")).count().orderBy("p").toArrow().to_pandas()  # a row for each partition
     start = dict(zip(before["p"].tolist(), (before["count"].cumsum() - before["count"]).tolist()))
     begin = spark.sparkContext.broadcast(start)
 

@@ -250,7 +250,7 @@ def _edges(found: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Edges ``a`` > ``b`` that connect the near copies among distinct fingerprints (``id``, ``f0``, ``f1``)."""
     spark = found.sparkSession
     n = found.count()
-    rows = smallest_hashes(found, CORRELATION_ROWS, "id").toPandas()
+    rows = smallest_hashes(found, CORRELATION_ROWS, "id").toArrow().to_pandas()
     order = bit_order(np.ascontiguousarray(rows[["f0", "f1"]].to_numpy(np.int64)).view(np.uint64)) if n else np.arange(BITS)
     shard_bits = min(12, max(1, (max(n, 1) // shard_rows).bit_length()))
     k = min(k, BITS)
@@ -270,7 +270,7 @@ def _edges(found: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
         at = np.flatnonzero(hist.ravel())
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(hist.ravel()[at])], ["at", "n"])
 
-    seen = found.select("id", "f0", "f1").mapInArrow(tally, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # 8 x 65536 rows at most
+    seen = found.select("id", "f0", "f1").mapInArrow(tally, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow().to_pandas()  # 8 x 65536 rows at most
     hist = np.zeros(PARTS << WIDTH)
     hist[seen["at"]] = seen["n"]
     hist = hist.reshape(PARTS, -1)
