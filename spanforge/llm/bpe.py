@@ -32,7 +32,7 @@ from spanforge.llm.common import lists, map_texts
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: distinct pre-tokens that a task remembers; the table is begun anew beyond (results don't depend on it)
-REMEMBER = 1_000_000
+REMEMBER = 250_000
 _NONE = np.int64(1) << 62
 _LOCKSTEP = 16
 

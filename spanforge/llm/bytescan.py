@@ -9,7 +9,7 @@ bytes alone, so they agree between tasks, batches and runs.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 
@@ -121,16 +121,3 @@ def ngram_hash(h: np.ndarray, n: int, doc: np.ndarray) -> tuple[np.ndarray, np.n
         acc = mix(acc * _P + h[i : i + m] + np.uint64(i + 1))
     same = doc[:m] == doc[n - 1 :]
     return acc[same], doc[:m][same]
-
-
-def slices(texts: list, budget: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    """Cut a batch at text borders into slices of about ``budget`` characters; a longer text is a slice of its own."""
-    lo = size = 0
-    for i, t in enumerate(texts):
-        n = 0 if t is None else len(t)
-        if i > lo and size + n > budget:
-            yield lo, i
-            lo, size = i, 0
-        size += n
-    if lo < len(texts):
-        yield lo, len(texts)

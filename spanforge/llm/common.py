@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanforge.llm.bytescan import slices
 from spanforge.storage import written
 
 
@@ -35,10 +36,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def pieces(batch: pa.RecordBatch, column: str, budget: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of a batch with their texts, cut by size so that memory doesn't follow the number of rows in a batch."""
-    texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
-    for lo, hi in slices(texts, budget):
-        yield batch.slice(lo, hi - lo), texts[lo:hi]
+    """Slices of a batch with their texts, cut by size so that memory doesn't follow the number of rows in a batch.
+
+    A slice has about ``budget`` bytes of text; a longer text is a slice of its own.
+    """
+    texts = batch.column(batch.schema.get_field_index(column))
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)), dtype=np.int64)
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + budget, "right")))
+        yield batch.slice(lo, hi - lo), texts.slice(lo, hi - lo).to_pylist()
+        lo = hi
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on after a task, and share the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema: str, column: str = "text", budget: int = 2 << 20) -> DataFrame:
@@ -50,6 +67,7 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch, list], pa.RecordBatch
                 out = fn(rows, texts)
                 if out is not None and out.num_rows:
                     yield out
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -88,19 +106,18 @@ def smallest_hashes(df: DataFrame, n: int, *columns: str, by: str | None = None)
 def join_one(left: DataFrame, right: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join with a ``right`` that has one row for each ``key`` and the number of its rows on the left (``size``).
 
-    Keys of more than a thousandth of the rows, a thousand at most, are broadcast: a key that a third of all rows have
-    isn't gathered in one task.  The others are shuffled.
+    Keys of more than a thousandth of the rows, a thousand or two at most, are known to every task: their rows are dealt
+    out over as many parts as they hold thousandths, so a key that a third of all rows have isn't gathered in one task.
     """
     least = max(total // 1000, 1)
-    hot = right.where(F.col(size) > least)
-    mark, *_ = fresh([*left.columns, *right.columns], "hot")
-    few = hot.select(key).withColumn(mark, F.lit(True))
-    if few.isEmpty():
+    parts, part = fresh([*left.columns, *right.columns], "parts", "part")
+    many = right.withColumn(parts, F.greatest(F.ceil(F.col(size) / least), F.lit(1)).cast("int"))
+    hot = many.where(F.col(parts) > 1).select(key, parts)
+    if hot.isEmpty():
         return left.join(right, key)
-    marked = left.join(F.broadcast(few), key, "left")
-    spread = marked.where(F.col(mark)).drop(mark).join(F.broadcast(hot), key)
-    rest = marked.where(F.col(mark).isNull()).drop(mark).join(right.where(F.col(size) <= least), key)
-    return spread.unionByName(rest)
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn(part, F.pmod(F.monotonically_increasing_id(), F.coalesce(parts, F.lit(1))).cast("int")).drop(parts)
+    spread = many.withColumn(part, F.explode(F.sequence(F.lit(0), F.col(parts) - 1))).drop(parts)
+    return dealt.join(spread, [key, part]).drop(part)
 
 
 def lists(values: np.ndarray, count: np.ndarray, kind: pa.DataType) -> pa.Array:

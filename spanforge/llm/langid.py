@@ -96,8 +96,8 @@ class Model:
             return np.zeros((0, len(self.langs)))
         h, at, back = np.unique(tokens.hash, return_index=True, return_inverse=True)
         out = np.empty((len(at), len(self.langs)))
-        for lo in range(0, len(at), 1 << 16):
-            part = at[lo : lo + (1 << 16)]
+        for lo in range(0, len(at), 1 << 14):
+            part = at[lo : lo + (1 << 14)]
             ids, first = word_features(tokens, part)
             out[lo : lo + len(part)] = np.add.reduceat(self.weights[ids], first, axis=0)
         lex = self.lexicon(h)

@@ -178,7 +178,7 @@ def token_counts(docs: DataFrame, vocabulary: str = bpe.VOCABULARY) -> DataFrame
         _, n = bpe.encoder(vocabulary).encode(texts)
         return pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64())], ["doc_id", "n"])
 
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fn, "doc_id long, n long", budget=4 << 20)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fn, "doc_id long, n long", budget=1 << 20)
 
 
 def best_fit_packing(docs: DataFrame, window: int = WINDOW, block_pieces: int = BLOCK_PIECES, rounds: int | None = None, vocabulary: str = bpe.VOCABULARY) -> DataFrame:

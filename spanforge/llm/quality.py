@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm.bytescan import Tokens, ngram_hash
-from spanforge.llm.common import cut, keep_rows, map_texts, pieces, smallest_hashes
+from spanforge.llm.common import cut, keep_rows, map_texts, pieces, release, smallest_hashes
 
 BUCKET_BITS = 20
 #: mean nats per n-gram under which a document is rejected
@@ -91,11 +91,13 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BUCKET_BITS, target_limi
                 for bucket, who in ((word, tokens.doc), (pair, doc)):
                     np.add.at(raw, bucket, 1)
                     np.add.at(target, bucket[good[who]], 1)
+        release()
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, "bucket long, raw long, target long")
-    counts = cut(rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))
+    # each task has a bucket once: they are shuffled as they are, and added where they arrive
+    counts = cut(rows.repartition("bucket").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))
     every, good = counts.agg(F.sum("raw"), F.sum("target")).first()
     ratio = np.zeros(1 << bits, np.float32)
     if good:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm.bytescan import Tokens, mix, ngram_hash
-from spanforge.llm.common import cut, fresh, join_one, map_texts, smallest_hashes
+from spanforge.llm.common import cut, fresh, join_one, map_texts, release, smallest_hashes
 
 K = 22
 BITS, PARTS, WIDTH = 128, 8, 16
@@ -319,6 +319,7 @@ def _edges(found: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
         f = np.ascontiguousarray(np.stack([r["f0"], r["f1"]], axis=1))
         root = near_in_shard(r["id"].astype(np.int64), f, r["v"].astype(np.int64), r["stored"] > 0, r["r"].astype(np.int64), k)
         some = np.flatnonzero(root != np.arange(len(root)))
+        release()
         return pa.table({"a": pa.array(r["id"][some]), "b": pa.array(r["id"][root[some]])})
 
     routed = found.select("id", "f0", "f1").mapInArrow(route, "shard long, rows binary")

@@ -15,6 +15,7 @@ has measured.
 
 from __future__ import annotations
 
+import copy
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -156,9 +157,21 @@ class Graph:
         """The columns of ``nodes`` that joins by range use: no names are read for them."""
         return self.nodes.select("instance_id", "symbol_id", "object_id", "start", "end", "level")
 
-    def select(self, predicate: Column | None = None, ids: DataFrame | None = None, project: Column | None = None) -> DataFrame:
-        """Nodes that satisfy a predicate and are among ``ids``; their object and project must exist."""
-        df = self.nodes
+    def within(self, objects: "list[int] | None") -> "Graph":
+        """The same graph with the occurrences and references of some objects alone: a filter that reaches the scan.
+
+        Rows are stored in order of their objects, so few row groups are read.  None: no limit.
+        """
+        if objects is None:
+            return self
+        out = copy.copy(self)
+        inside = F.col("object_id").isin(objects) if objects else F.lit(False)
+        out.__dict__ |= {"nodes": self.nodes.where(inside), "places": self.places.where(inside), "refs": self.refs.where(inside)}
+        return out
+
+    def select(self, predicate: Column | None = None, ids: DataFrame | None = None, project: Column | None = None, near: "list[int] | None" = None) -> DataFrame:
+        """Nodes that satisfy a predicate and are among ``ids``; their object and project must exist.  ``near``: the only objects of the ids."""
+        df = self.within(near).nodes
         if ids is not None:
             df = df.join(ids.select("instance_id"), "instance_id", "left_semi")
         if predicate is not None:
@@ -175,15 +188,16 @@ class Graph:
     def refs(self) -> DataFrame:
         return self.tables["symbol_refs"].select(F.col("id").alias("ref_id"), "to_symbol", F.col("from_object").alias("object_id"), "start", "end")
 
-    def ref_children(self, parents: DataFrame, direct: bool = False, outer: bool = False) -> DataFrame:
-        """References made inside ``parents`` with the occurrences of their targets.
+    def ref_children(self, parents: DataFrame, direct: bool = False, outer: bool = False, near: "list[int] | None" = None) -> DataFrame:
+        """References made inside ``parents`` (which lie in the objects ``near``, if given) with the occurrences of their targets.
 
         ``direct``: not where a container of no higher level lies between.  ``outer``: not for a parent inside another one.
         """
         p = parents.select("instance_id", "symbol_id", "object_id", "start", "end", "level")
         if outer:
             p = containment_join(p, p, (F.col("i.instance_id") != F.col("o.instance_id")) & differs("i", "o"), self.by_cells, "left_anti").select("i.*")
-        sites = containment_join(p, self.refs, by_cells=self.by_cells).select(
+        own = self.within(near)
+        sites = containment_join(p, own.refs, by_cells=self.by_cells).select(
             F.col("o.instance_id").alias("from_instance"),
             F.col("o.symbol_id").alias("from_symbol"),
             F.col("o.start").alias("p_start"),
@@ -192,7 +206,7 @@ class Graph:
             *[F.col(f"i.{c}") for c in self.refs.columns],
         )
         if direct:
-            sites = self._without_container(sites)
+            sites = own._without_container(sites)
         to = self.places.select(F.col("instance_id").alias("to_instance"), F.col("symbol_id").alias("to_symbol"))
         return sites.join(to, "to_symbol").select(*REF_EDGE)
 
@@ -207,19 +221,19 @@ class Graph:
         )
         return containment_join(self.places, sites, between, self.by_cells, "left_anti").select("i.*")
 
-    def ref_parents(self, children: DataFrame) -> DataFrame:
-        """References to the symbols of ``children``, with every occurrence that contains their sites."""
+    def ref_parents(self, children: DataFrame, symbols: "list[int] | None" = None) -> DataFrame:
+        """References to the symbols of ``children`` (these ``symbols`` alone, if given), with every occurrence that contains their sites."""
         to = children.select(F.col("instance_id").alias("to_instance"), F.col("symbol_id").alias("to_symbol"))
-        sites = self.refs.join(to, "to_symbol")
+        sites = (self.refs if symbols is None else self.refs.where(F.col("to_symbol").isin(symbols))).join(to, "to_symbol")
         return containment_join(self.places, sites, by_cells=self.by_cells).select(
             F.col("o.instance_id").alias("from_instance"), F.col("o.symbol_id").alias("from_symbol"), "i.to_instance", "i.to_symbol", "i.ref_id", "i.object_id", "i.start", "i.end"
         )
 
-    def edges_between(self, nodes: DataFrame) -> DataFrame:
+    def edges_between(self, nodes: DataFrame, near: "list[int] | None" = None) -> DataFrame:
         """One edge for each node and reference in it to another of ``nodes``: to the smallest occurrence of the target."""
         n = nodes.select("instance_id", "symbol_id", "object_id", "start", "end").distinct()
         to = n.select(F.col("instance_id").alias("to_instance"), F.col("symbol_id").alias("to_symbol"))
-        sites = self.refs.join(to, "to_symbol")
+        sites = self.within(near).refs.join(to, "to_symbol")
         return (
             containment_join(n, sites, F.col("o.instance_id") != F.col("i.to_instance"), self.by_cells)
             .groupBy(F.col("o.instance_id").alias("from_instance"), F.col("o.symbol_id").alias("from_symbol"), "i.to_symbol", "i.ref_id", "i.object_id", "i.start", "i.end")
@@ -303,22 +317,22 @@ class Graph:
 
     # derivation:
 
-    def derive_children(self, parents: DataFrame, refs: bool, has: bool, direct: bool = True) -> DataFrame:
-        """Ids of the nodes that ``parents`` refer to or contain."""
+    def derive_children(self, parents: DataFrame, refs: bool, has: bool, direct: bool = True, near: "list[int] | None" = None) -> DataFrame:
+        """Ids of the nodes that ``parents`` (in the objects ``near``, if given) refer to or contain."""
         parts = []
         if has:
-            parts.append(self.has_children(parents, direct).select(F.col("child_instance").alias("instance_id")))
+            parts.append(self.within(near).has_children(parents, direct).select(F.col("child_instance").alias("instance_id")))
         if refs:
-            parts.append(self.ref_children(parents, direct, outer=direct).select(F.col("to_instance").alias("instance_id")))
+            parts.append(self.ref_children(parents, direct, outer=direct, near=near).select(F.col("to_instance").alias("instance_id")))
         return self._union(parts)
 
-    def derive_parents(self, children: DataFrame, refs: bool, has: bool, innermost: bool = True) -> DataFrame:
-        """Ids of the nodes that refer to or contain ``children``."""
+    def derive_parents(self, children: DataFrame, refs: bool, has: bool, innermost: bool = True, near: "list[int] | None" = None, symbols: "list[int] | None" = None) -> DataFrame:
+        """Ids of the nodes that refer to or contain ``children`` (in the objects ``near``, of these ``symbols``, if given)."""
         parts = []
         if refs:
-            parts.append(self.ref_parents(children).select(F.col("from_instance").alias("instance_id")))
+            parts.append(self.ref_parents(children, symbols).select(F.col("from_instance").alias("instance_id")))
         if has:
-            parts.append(self.has_parents(children, innermost).select(F.col("parent_instance").alias("instance_id")))
+            parts.append(self.within(near).has_parents(children, innermost).select(F.col("parent_instance").alias("instance_id")))
         return self._union(parts)
 
     def _union(self, parts: list[DataFrame]) -> DataFrame:

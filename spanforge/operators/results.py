@@ -30,7 +30,7 @@ def describe(graph: Graph, nodes: DataFrame) -> DataFrame:
     )
 
 
-def ref_edges(graph: Graph, nodes: DataFrame, explicit: DataFrame | None, forced: DataFrame | None) -> DataFrame:
+def ref_edges(graph: Graph, nodes: DataFrame, explicit: DataFrame | None, forced: DataFrame | None, near: "list[int] | None" = None) -> DataFrame:
     """Edges whose ends are both among ``nodes``: forced ones, those of the selections, and all others between nodes.
 
     One edge for each source, target symbol and place; forced ones first, then those of the selections, then by target.
@@ -42,7 +42,7 @@ def ref_edges(graph: Graph, nodes: DataFrame, explicit: DataFrame | None, forced
             edges = edges.join(ids.withColumnRenamed("instance_id", end), end, "left_semi")
         return edges.select(*REF_EDGE)
 
-    parts = [graph.edges_between(nodes).withColumn("rank", F.lit(2))]
+    parts = [graph.edges_between(nodes, near).withColumn("rank", F.lit(2))]
     if explicit is not None:
         parts.append(inside(explicit).withColumn("rank", F.lit(1)))
     if forced is not None:

@@ -21,19 +21,35 @@ from spanforge.plans import verbs as V
 from spanforge.plans.parser import QueryError
 from spanforge.plans.statements import CHILD, PARENT, USER, Statement, read, walk
 from spanforge.schema import CONTENT, HAS, REFS
-from spanforge.storage import local, settle
+from spanforge.storage import local, settle, settle_rows
+
+
+#: objects and symbols of a small set up to which they are known to the plans that start from it
+FEW = 200
 
 
 @dataclass
 class Nodes:
-    """A set of nodes without lineage, and its size."""
+    """A set of nodes without lineage, its size, and its objects and symbols if they are few."""
 
     df: DataFrame
     count: int
+    objects: list[int] | None = None
+    symbols: list[int] | None = None
 
     @staticmethod
     def of(df: DataFrame) -> "Nodes":
-        return Nodes(*settle(df.select(*NODE)))
+        kept, n, rows = settle_rows(df.select(*NODE))
+        few = lambda c: None if rows is None or len(found := rows.column(c).unique()) > FEW else sorted(found.to_pylist())
+        return Nodes(kept, n, few("object_id"), few("symbol_id"))
+
+    @staticmethod
+    def together(some: "list[Nodes]") -> "Nodes":
+        df = some[0].df
+        for n in some[1:]:
+            df = df.union(n.df)
+        both = lambda parts: None if any(p is None for p in parts) or len(found := {x for p in parts for x in p}) > FEW else sorted(found)
+        return Nodes(df, sum(n.count for n in some), both([n.objects for n in some]), both([n.symbols for n in some]))
 
 
 @dataclass
@@ -73,7 +89,7 @@ class Part:
             return forced_edges(*self.forced)
         if self.above is SKIP or not self.origin.count:
             return None
-        edges = self.graph.ref_parents(self.origin.df)
+        edges = self.graph.ref_parents(self.origin.df, self.origin.symbols)
         if self.above is None:
             return edges
         return edges.join(self.above.instances(self.graph).withColumnRenamed("instance_id", "from_instance"), "from_instance", "left_semi")
@@ -82,7 +98,7 @@ class Part:
         """References from the nodes."""
         if self.below is SKIP or not self.origin.count:
             return None
-        edges = self.graph.ref_children(self.origin.df)
+        edges = self.graph.ref_children(self.origin.df, near=self.origin.objects)
         if self.below is None:
             return edges
         return edges.join(self.below.instances(self.graph).withColumnRenamed("instance_id", "to_instance"), "to_instance", "left_semi")
@@ -168,10 +184,7 @@ class Run:
 
     def union(self, found: list[Selection]) -> Selection:
         some = [x.nodes for x in found if x.nodes.count] or [found[0].nodes]
-        df = some[0].df
-        for n in some[1:]:
-            df = df.union(n.df)
-        return Selection(Nodes(df, sum(n.count for n in some)), [p for x in found for p in x.parts])
+        return Selection(Nodes.together(some), [p for x in found for p in x.parts])
 
     def resolved(self, s: Statement) -> bool:
         return not s.selectors or any(self.state.get(v) is not None for v in s.selectors)
@@ -212,9 +225,9 @@ class Run:
 
     # initial selections:
 
-    def select(self, s: Statement, predicate: V.Predicate, ids: DataFrame | None, above, below, graph: Graph | None = None) -> Selection:
+    def select(self, s: Statement, predicate: V.Predicate, ids: DataFrame | None, above, below, graph: Graph | None = None, near: list[int] | None = None) -> Selection:
         graph = graph or self.graph
-        nodes = Nodes.of(graph.select(predicate.node, ids, predicate.project))
+        nodes = Nodes.of(graph.select(predicate.node, ids, predicate.project, near))
         return Selection(nodes, [Part(graph, nodes, above, below)])
 
     def seed(self) -> None:
@@ -490,8 +503,9 @@ class Run:
                     self.state[v] = self.force(v, x)
                 else:
                     filters = filters or other.filters
-                    ids = self.graph.derive_children(x.nodes.df, bool(relation & REFS), bool(relation & HAS), direct=not other.unnest)
-                    self.state[v] = self.select(other, filters, ids, self.above(other), self.below(other))
+                    ids = self.graph.derive_children(x.nodes.df, bool(relation & REFS), bool(relation & HAS), not other.unnest, x.nodes.objects)
+                    near = None if relation & REFS else x.nodes.objects  # what a node contains is in its object
+                    self.state[v] = self.select(other, filters, ids, self.above(other), self.below(other), near=near)
             elif isinstance(v, V.Use) and v.forced:
                 self.kept.setdefault(v, x)
                 self.state[v] = None
@@ -529,8 +543,9 @@ class Run:
                 continue
             if ids is None:
                 filters = parent.filters
-                ids = self.graph.derive_parents(merged.nodes.df, bool(s.relation & REFS), bool(s.relation & HAS), innermost=not parent.unnest)
-            self.state[v] = self.select(parent, filters, ids, self.above(parent), Limits([merged.nodes.df] if merged.nodes.count else []))
+                ids = self.graph.derive_parents(merged.nodes.df, bool(s.relation & REFS), bool(s.relation & HAS), not parent.unnest, merged.nodes.objects, merged.nodes.symbols)
+            near = None if s.relation & REFS else merged.nodes.objects
+            self.state[v] = self.select(parent, filters, ids, self.above(parent), Limits([merged.nodes.df] if merged.nodes.count else []), near=near)
             changed = True
         return changed
 
@@ -604,6 +619,7 @@ class Run:
         found = [(s, x) for s, x in ((s, self.selection(s)) for s in self.statements) if x is not None]
         nodes = results.merge_nodes(self.graph, [(x.nodes.df, s.start, s.shown_end, self.text[s.start : s.shown_end]) for s, x in found if x.nodes.count])
         plain, _ = settle(nodes.select("instance_id", "symbol_id", "object_id", "start", "end", "level"))
+        near = Nodes.together([x.nodes for _, x in found]).objects if found else None
         explicit, forced = [], []
         for _, x in found:
             for p in x.parts:
@@ -613,7 +629,7 @@ class Run:
                 explicit += [e for e in (p.children(), p.parents()) if e is not None]
         return Result(
             results.describe(self.graph, nodes),
-            results.ref_edges(self.graph, plain, _union(explicit) if explicit else None, _union(forced) if forced else None),
+            results.ref_edges(self.graph, plain, _union(explicit) if explicit else None, _union(forced) if forced else None, near),
             results.has_edges(self.graph, plain),
             self.enrich(results.merge_warnings([w for s in self.statements for w in s.warnings])),
             self.activations,

@@ -72,13 +72,18 @@ def local(spark: SparkSession, table, schema: "str | T.StructType") -> DataFrame
     return spark.createDataFrame(table, kind)
 
 
+def settle_rows(df: DataFrame, limit: int = LOCAL_ROWS) -> tuple[DataFrame, int, "object | None"]:
+    """``settle``, and the rows themselves (an Arrow table) where the driver keeps them."""
+    head = df.limit(limit + 1).toArrow()
+    if head.num_rows <= limit:
+        return local(df.sparkSession, head, df.schema), head.num_rows, head
+    kept = written(df, "set")
+    return kept, kept.count(), None
+
+
 def settle(df: DataFrame, limit: int = LOCAL_ROWS) -> tuple[DataFrame, int]:
     """The same rows without their lineage, and their number: computed once into a table of the shared folder.
 
-    Up to ``limit`` rows are then kept as a local relation.
+    Up to ``limit`` rows are kept as a local relation instead.
     """
-    head = df.limit(limit + 1).toArrow()
-    if head.num_rows <= limit:
-        return local(df.sparkSession, head, df.schema), head.num_rows
-    kept = written(df, "set")
-    return kept, kept.count()
+    return settle_rows(df, limit)[:2]

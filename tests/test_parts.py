@@ -252,6 +252,60 @@ def test_joins_of_random_forests(spark):
             assert {r.symbol_id for r in g.symbols_referred(chosen, g.select(), None).collect()} == {r[4] for p, r in sites}
 
 
+def test_queries_of_random_forests(spark):
+    """Derivation through the language against sets worked out in Python, on graphs of its own."""
+    rng = random.Random(11)
+    verbs = {1: ("func", 2), 5: ("type", 2), 6: ("data", 2), 2: ("file", 3), 8: ("field", 1)}
+    b = fixtures.Build("p").object(1, "/x").object(2, "/y")
+    nodes, refs = {}, []
+    for i in range(1, 36):
+        lo = rng.randint(0, 40)
+        hi, obj, kind = lo + rng.choice([0, 4, 9, 20, 40]), rng.randint(1, 2), rng.choice(list(verbs))
+        b.node(i, f"n{i}", lo, hi, obj, kind)
+        nodes[i] = (obj, *((0, 0) if lo >= hi else (lo, hi)), verbs[kind][1], kind)
+    for k in range(40):
+        lo, obj, to = rng.randint(0, 70), rng.randint(1, 2), rng.randint(1, 35)
+        hi = lo + rng.choice([1, 2, 6])
+        b.ref(lo, hi, to, obj)
+        refs.append((obj, lo, hi, to))
+    index = b.index(spark)
+    inside = lambda p, c: p[0] == c[0] and (c[1] >= c[2] or (p[1] <= c[1] and p[2] >= c[2] and p[1] < p[2]))
+    differ = lambda x, y: x[1:3] != y[1:3]
+    strict = lambda p, m, c: inside(nodes[p], nodes[m]) and inside(nodes[m], nodes[c]) and differ(nodes[m], nodes[p]) and differ(nodes[m], nodes[c]) and m not in (p, c)
+    holds = lambda p, c: p != c and inside(nodes[p], nodes[c]) and nodes[p][3] >= nodes[c][3]
+
+    def below(some, refs_too=True, has_too=True, unnest=False):
+        out = set()
+        if has_too:
+            out |= {c for p in some for c in nodes if holds(p, c) and (unnest or not any(strict(p, m, c) and nodes[p][3] >= nodes[m][3] for m in nodes))}
+        if refs_too:
+            for p in some:
+                if not unnest and any(q != p and inside(nodes[q], nodes[p]) and differ(nodes[q], nodes[p]) for q in some):
+                    continue
+                for r in refs:
+                    between = any(m != p and inside(nodes[p], nodes[m]) and inside(nodes[m], r) and differ(nodes[m], nodes[p]) and nodes[m][3] <= nodes[p][3] for m in nodes)
+                    if inside(nodes[p], r) and (unnest or not between):
+                        out.add(r[3])
+        return out
+
+    def above(some):
+        around = {p for c in some for p in nodes if holds(p, c) and not any(strict(p, m, c) for m in nodes)}
+        return around | {p for p in nodes for r in refs if r[3] in some and inside(nodes[p], r)}
+
+    for kind, (verb, _) in verbs.items():
+        own = {i for i, n in nodes.items() if n[4] == kind}
+        want = {
+            f"select {verb} {{ any }}": own | below(own),
+            f"select {verb} has {{ any }}": own | below(own, refs_too=False),
+            f"select {verb} refs {{ any }}": own | below(own, has_too=False),
+            f"select {verb} {{ any unnest }}": own | below(own, unnest=True),
+            f"select {verb} {{ any {{}} }}": own | below(own) | below(below(own)),
+            f"{{ select {verb} }}": own | above(own),
+        }
+        for query, expected in list(want.items())[kind % 2 :: 2] if kind in (5, 6, 2) else want.items():
+            assert {r.instance_id for r in index.query(query).nodes.collect()} == expected, query
+
+
 # results:
 
 
