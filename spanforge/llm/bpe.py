@@ -32,9 +32,13 @@ from spanforge.llm.common import lists, map_texts
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: distinct pre-tokens that a task remembers; the table is begun anew beyond (results don't depend on it)
-REMEMBER = 250_000
+REMEMBER = 500_000
 _NONE = np.int64(1) << 62
 _LOCKSTEP = 16
+#: leaf for "no pair" in a tree of int32 (ranks are below 2^20, widths up to 64)
+_NO_LEAF = np.int32((1 << 31) - 1)
+#: tree cells merged in lock step at a time, so that they stay in the cache
+_CELLS = 1 << 17
 
 
 class Vocabulary:
@@ -130,14 +134,14 @@ class Vocabulary:
         after = np.where(column[None] + 1 < size[:, None], column[None] + 1, width)
         after = np.concatenate([after, np.full((n, 2), width)], axis=1)
         before = np.broadcast_to(np.concatenate(([width + 1], column[:-1], [width + 1, width + 1])), (n, width + 2)).copy()
-        tree = np.full((n, 2 * width), _NONE, np.int64)
+        tree = np.full((n, 2 * width), _NO_LEAF, np.int32)
         rank = self.rank(tok[:, : width - 1], tok[:, 1:width])
-        tree[:, width : 2 * width - 1] = np.where(rank < _NONE, rank * width + column[:-1], _NONE)
+        tree[:, width : 2 * width - 1] = np.where(rank < _NONE, rank * width + column[:-1], _NO_LEAF)
         half = width
         while half > 1:
             half //= 2
             tree[:, half : 2 * half] = np.minimum(tree[:, 2 * half : 4 * half : 2], tree[:, 2 * half + 1 : 4 * half : 2])
-        rows = np.flatnonzero(tree[:, 1] < _NONE)
+        rows = np.flatnonzero(tree[:, 1] < _NO_LEAF)
         while len(rows):
             top = tree[rows, 1]
             p = top % width
@@ -151,39 +155,45 @@ class Vocabulary:
             left = before[rows, p]
             mine = self.rank(tok[rows, p], tok[rows, z])
             other = self.rank(tok[rows, left], tok[rows, p])
-            tree[rows, width + q] = _NONE
-            tree[rows, width + p] = np.where(mine < _NONE, mine * width + p, _NONE)
+            tree[rows, width + q] = _NO_LEAF
+            tree[rows, width + p] = np.where(mine < _NONE, mine * width + p, _NO_LEAF)
             has = left < width
-            tree[rows[has], width + left[has]] = np.where(other[has] < _NONE, other[has] * width + left[has], _NONE)
+            tree[rows[has], width + left[has]] = np.where(other[has] < _NONE, other[has] * width + left[has], _NO_LEAF)
             for leaf, who in ((q, rows), (p, rows), (left[has], rows[has])):
                 node = (width + leaf) >> 1
                 while len(node) and node[0]:
                     tree[who, node] = np.minimum(tree[who, 2 * node], tree[who, 2 * node + 1])
                     node = node >> 1
-            rows = rows[tree[rows, 1] < _NONE]
+            rows = rows[tree[rows, 1] < _NO_LEAF]
         live = tok[:, :width] >= 0
         return tok[:, :width][live], live.sum(axis=1)
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of distinct pre-tokens, flat, and the number of each."""
         size = np.fromiter(map(len, words), np.int64, len(words))
-        count, found = np.zeros(len(words), np.int64), [None] * len(words)
+        count, done = np.zeros(len(words), np.int64), []
+        alone = np.ones(len(words), bool)
         width = 2
         while width <= 64:
             some = np.flatnonzero((size <= width) & (size > width // 2 if width > 2 else size > 0))
             if len(some) >= _LOCKSTEP:
-                for lo in range(0, len(some), 1 << 15):
-                    part = some[lo : lo + (1 << 15)]
-                    flat, n = self.encode_lockstep([words[i] for i in part], width)
-                    count[part] = n
-                    for i, ids in zip(part, np.split(flat, np.cumsum(n)[:-1])):
-                        found[i] = ids
+                step = _CELLS // width
+                for lo in range(0, len(some), step):
+                    part = some[lo : lo + step]
+                    flat, count[part] = self.encode_lockstep([words[i] for i in part.tolist()], width)
+                    done.append((part, flat))
+                alone[some] = False
             width *= 2
-        for i, ids in enumerate(found):
-            if ids is None:
-                found[i] = np.array(self.encode_long(words[i]), np.int64)
-                count[i] = len(found[i])
-        return np.concatenate(found) if found else np.zeros(0, np.int64), count
+        for i in np.flatnonzero(alone).tolist():
+            ids = self.encode_long(words[i])
+            count[i] = len(ids)
+            done.append((np.array([i]), np.array(ids, np.int64)))
+        begin = np.cumsum(count) - count
+        out = np.zeros(int(count.sum()), np.int64)
+        for part, flat in done:
+            n = count[part]
+            out[np.repeat(begin[part] - (np.cumsum(n) - n), n) + np.arange(len(flat))] = flat
+        return out, count
 
     def decode(self, ids: np.ndarray) -> bytes:
         size = self.token_len[ids]
@@ -191,6 +201,19 @@ class Vocabulary:
         return self.token_bytes[at].tobytes()
 
 
+class Seen(dict):
+    """Numbers of words in the order in which they are first asked for; ``fresh`` has those that aren't encoded yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        self[word] = at = len(self)
+        return at
+
+
 class Encoder:
     """A vocabulary with the pre-tokens that it has encoded so far."""
 
@@ -199,19 +222,19 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Seen()
         self.flat, self.count, self.begin = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, words: list[str]) -> None:
-        flat, count = self.vocabulary.encode_words([w.encode("utf-8", "surrogatepass") for w in words])
-        base = len(self.count)
-        self.known.update(zip(words, range(base, base + len(words))))
+    def learn(self) -> None:
+        """Encode the words that were met for the first time."""
+        flat, count = self.vocabulary.encode_words([w.encode("utf-8", "surrogatepass") for w in self.known.fresh])
         self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(count) - count])
         self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
         self.count = np.concatenate([self.count, count])
+        self.known.fresh = []
 
-    def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, flat, and their number in each."""
+    def look_up(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pre-tokens of all texts are in the table, in order, and their number in each text."""
         if len(self.known) > REMEMBER:
             self.forget()
         find = self.vocabulary.pattern.findall
@@ -221,15 +244,28 @@ class Encoder:
                 w = find(t)
                 per[i] = len(w)
                 words += w
-        new = set(words).difference(self.known)
-        if new:
-            self.learn(sorted(new))
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if self.known.fresh:
+            self.learn()
+        return at, per
+
+    def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, flat, and their number in each."""
+        at, per = self.look_up(texts)
         n = self.count[at]
         ids = self.flat[np.repeat(self.begin[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        return ids, self.per_text(n, per)
+
+    def count_tokens(self, texts: list) -> np.ndarray:
+        """The number of ids of each text."""
+        at, per = self.look_up(texts)
+        return self.per_text(self.count[at], per)
+
+    @staticmethod
+    def per_text(n: np.ndarray, per: np.ndarray) -> np.ndarray:
         ends = np.concatenate(([0], np.cumsum(n)))
         last = np.cumsum(per)
-        return ids, ends[last] - ends[last - per]
+        return ends[last] - ends[last - per]
 
 
 @lru_cache(maxsize=2)

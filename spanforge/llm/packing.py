@@ -175,7 +175,7 @@ def token_counts(docs: DataFrame, vocabulary: str = bpe.VOCABULARY) -> DataFrame
     """``doc_id`` and the number of tokens ``n`` of each row."""
 
     def fn(rows: pa.RecordBatch, texts: list) -> pa.RecordBatch:
-        _, n = bpe.encoder(vocabulary).encode(texts)
+        n = bpe.encoder(vocabulary).count_tokens(texts)
         return pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64())], ["doc_id", "n"])
 
     return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fn, "doc_id long, n long", budget=1 << 20)
