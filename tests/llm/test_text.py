@@ -331,6 +331,21 @@ def test_whole_katz_equals_brute_force(spark, order, types):
         assert got[i].perplexity == (pytest.approx(math.exp(-value / (n - unknown)), rel=1e-4) if n > unknown else None)
 
 
+@pytest.mark.parametrize("order,types", [(2, 60), (2, 2), (3, 60), (3, 3), (4, 5)])
+def test_the_scores_of_the_query_back_off(spark, order, types):
+    """``score`` itself has the lower orders and the backoff weights: other texts need them, whatever contexts are spread."""
+    rng = random.Random(order)
+    vocab = ["".join(rng.choice("abcde") for _ in range(6)) for _ in range(types)]
+    texts = [" ".join(vocab[min(types - 1, int(rng.expovariate(0.3)))] for _ in range(rng.randint(1, 80))) for _ in range(60)] + [f"{vocab[1]} " * 500, "", None]
+    others = [" ".join(rng.choice(vocab) for _ in range(30)), "an unknown word " + vocab[0], texts[3] + " " + texts[7], "", None, "none of it known", texts[5]]
+    for bucket_tokens in (40, 1000, 10**6):
+        got = {r.doc_id: r for r in katz.score(docs_of(spark, texts), order, bucket_tokens=bucket_tokens, others=docs_of(spark, others)).collect()}
+        assert len(got) == len(others)
+        for i, (n, unknown, value) in enumerate(whole_katz_by_force(texts, order, others=others)):
+            assert got[i].n_tokens == n and got[i].logprob == pytest.approx(value, rel=2e-5, abs=1e-9)
+            assert got[i].perplexity == (pytest.approx(math.exp(-value / (n - unknown)), rel=1e-4) if n > unknown else None)
+
+
 def test_no_word_of_a_large_vocabulary_is_pooled(spark, tmp_path):
     from spanforge.llm.queries import op10_lm_scoring
 
