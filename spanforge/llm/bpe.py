@@ -27,12 +27,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import lists, map_texts
+from spanforge.llm.common import lists, map_texts, remember
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: distinct pre-tokens that a task remembers; the table is begun anew beyond (results don't depend on it)
 REMEMBER = 500_000
+#: name of that table among what a worker remembers: it stays for further tasks of an encoder, and goes when other work begins
+WORDS = "pre-tokens"
 _NONE = np.int64(1) << 62
 _LOCKSTEP = 16
 #: leaf for "no pair" in a tree of int32 (ranks are below 2^20, widths up to 64)
@@ -235,6 +237,7 @@ class Encoder:
 
     def look_up(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Where the pre-tokens of all texts are in the table, in order, and their number in each text."""
+        remember(WORDS, self.forget)
         if len(self.known) > REMEMBER:
             self.forget()
         find = self.vocabulary.pattern.findall
@@ -307,4 +310,4 @@ def encode_and_decode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: st
             column = pa.ListArray.from_arrays(column.offsets, column.values, mask=pa.array(null))
         return pa.RecordBatch.from_arrays([rows.column(0), column, pa.array(count, pa.int32(), mask=null), pa.array(exact, pa.bool_())], ["doc_id", "ids", "n_tokens", "exact"])
 
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fn, "doc_id long, ids array<int>, n_tokens int, exact boolean", budget=4 << 20)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fn, "doc_id long, ids array<int>, n_tokens int, exact boolean", budget=4 << 20, keeps=WORDS)

@@ -49,6 +49,24 @@ def pieces(batch: pa.RecordBatch, column: str, budget: int = 2 << 20) -> Iterato
         lo = hi
 
 
+_remembered: dict[str, set[Callable[[], None]]] = {}
+
+
+def remember(what: str, forget: Callable[[], None]) -> None:
+    """Say that this worker keeps something from task to task, and how to drop it."""
+    _remembered.setdefault(what, set()).add(forget)
+
+
+def make_room(keeps: str | None = None) -> None:
+    """As a task begins: drop what this worker remembers for other work; it shares the executor's memory with this task."""
+    others = [what for what in _remembered if what != keeps]
+    for what in others:
+        for forget in _remembered.pop(what):
+            forget()
+    if others:
+        release()
+
+
 def release() -> None:
     """Give freed memory back to the system: Python workers live on after a task, and share the executor's memory."""
     pa.default_memory_pool().release_unused()
@@ -58,10 +76,14 @@ def release() -> None:
         pass
 
 
-def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema: str, column: str = "text", budget: int = 2 << 20) -> DataFrame:
-    """Apply ``fn(rows, texts)`` to slices of the input; rows stay where they are (no shuffle)."""
+def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema: str, column: str = "text", budget: int = 2 << 20, keeps: str | None = None) -> DataFrame:
+    """Apply ``fn(rows, texts)`` to slices of the input; rows stay where they are (no shuffle).
+
+    ``keeps``: what ``fn`` remembers from task to task, if anything; a task drops what others remember.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(keeps)
         for batch in batches:
             for rows, texts in pieces(batch, column, budget):
                 out = fn(rows, texts)

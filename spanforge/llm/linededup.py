@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import cut, fresh
+from spanforge.llm.common import cut, fresh, map_texts
 
 MIN_SITES = 8
 MIN_CHARS = 1
@@ -87,36 +87,34 @@ def _strip(docs: DataFrame, lines: DataFrame, min_chars: int, limit: int, text:
     (hashes,) = fresh([*docs.columns, text, removed], "hashes")
     hashed = docs.select("*", F.transform(F.split("text", "\n"), lambda x: F.when(F.length(_line(x)) >= max(min_chars, 1), _hash(_line(x)))).alias(hashes))
 
-    def run(batches):
+    def fn(rows: pa.RecordBatch, texts: list) -> pa.RecordBatch:
         known, second, owner = table.value
-        for batch in batches:
-            names = batch.schema.names
-            own_hashes = batch.column(len(names) - 1)
-            texts = batch.column(names.index("text")).to_pylist()
-            ids = batch.column(names.index("doc_id"))
-            own = np.array(ids.cast(pa.int64()).fill_null(-(2**63) + 1).to_numpy(zero_copy_only=False), np.int64)
-            none = np.array(ids.is_null())
-            flat = own_hashes.flatten()
-            ok = np.array(flat.is_valid())
-            value, other = (np.array(flat.field(k).fill_null(0).to_numpy(zero_copy_only=False), np.int64) for k in (0, 1))
-            count = np.array(own_hashes.value_lengths().fill_null(0))
-            doc = np.repeat(np.arange(len(count)), count)
-            drop = np.zeros(len(value), bool)
-            if len(known) and len(value):
-                first = np.searchsorted(known, value)
-                for k in range(most):
-                    at = np.minimum(first + k, len(known) - 1)
-                    drop |= (known[at] == value) & (second[at] == other) & ok & ((owner[at] != own[doc]) | none[doc])
-            gone = np.bincount(doc[drop], minlength=len(count)) if len(doc) else np.zeros(len(count), int)
-            first = np.concatenate(([0], np.cumsum(count)))
-            for i in np.flatnonzero(gone):
-                mark = drop[first[i] : first[i + 1]]
-                texts[i] = "\n".join(x for x, m in zip(texts[i].split("\n"), mark) if not m)
-            columns = [batch.column(k) for k in range(len(names) - 1)] + [pa.array(texts, pa.string()), pa.array(gone, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, [*names[:-1], text, removed])
+        names = rows.schema.names
+        own_hashes = rows.column(len(names) - 1)
+        ids = rows.column(names.index("doc_id"))
+        own = np.array(ids.cast(pa.int64()).fill_null(-(2**63) + 1).to_numpy(zero_copy_only=False), np.int64)
+        none = np.array(ids.is_null())
+        flat = own_hashes.flatten()
+        ok = np.array(flat.is_valid())
+        value, other = (np.array(flat.field(k).fill_null(0).to_numpy(zero_copy_only=False), np.int64) for k in (0, 1))
+        count = np.array(own_hashes.value_lengths().fill_null(0))
+        doc = np.repeat(np.arange(len(count)), count)
+        drop = np.zeros(len(value), bool)
+        if len(known) and len(value):
+            first = np.searchsorted(known, value)
+            for k in range(most):
+                at = np.minimum(first + k, len(known) - 1)
+                drop |= (known[at] == value) & (second[at] == other) & ok & ((owner[at] != own[doc]) | none[doc])
+        gone = np.bincount(doc[drop], minlength=len(count)) if len(doc) else np.zeros(len(count), int)
+        first = np.concatenate(([0], np.cumsum(count)))
+        for i in np.flatnonzero(gone):
+            mark = drop[first[i] : first[i + 1]]
+            texts[i] = "\n".join(x for x, m in zip(texts[i].split("\n"), mark) if not m)
+        columns = [rows.column(k) for k in range(len(names) - 1)] + [pa.array(texts, pa.string()), pa.array(gone, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, [*names[:-1], text, removed])
 
     schema = docs.select("*", F.col("text").cast("string").alias(text), F.lit(0).alias(removed)).schema
-    return hashed.mapInArrow(run, schema)
+    return map_texts(hashed, fn, schema)
 
 
 def _strip_by_join(docs: DataFrame, lines: DataFrame, min_chars: int, text: str, removed: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm import bpe
-from spanforge.llm.common import cut, map_texts
+from spanforge.llm.common import cut, make_room, map_texts, release
 
 WINDOW = 2048
 BLOCK_PIECES = 40_000
@@ -178,7 +178,7 @@ def token_counts(docs: DataFrame, vocabulary: str = bpe.VOCABULARY) -> DataFrame
         n = bpe.encoder(vocabulary).count_tokens(texts)
         return pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64())], ["doc_id", "n"])
 
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fn, "doc_id long, n long", budget=1 << 20)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fn, "doc_id long, n long", budget=1 << 20, keeps=bpe.WORDS)
 
 
 def best_fit_packing(docs: DataFrame, window: int = WINDOW, block_pieces: int = BLOCK_PIECES, rounds: int | None = None, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
@@ -188,6 +188,7 @@ def best_fit_packing(docs: DataFrame, window: int = WINDOW, block_pieces: int =
     blocks = max(1, -(-int(total) // block_pieces))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        make_room()
         block = int(pdf["block"].iloc[0])
         pdf = pdf.loc[pdf.index.repeat(pdf["copies"])].sort_values(["doc_id", "n"], na_position="first", kind="stable")
         n = pdf["n"].to_numpy(np.int64)
@@ -205,6 +206,7 @@ def best_fit_packing(docs: DataFrame, window: int = WINDOW, block_pieces: int =
         before = np.cumsum(size_in) - size_in
         first = np.cumsum(length) - length
         offset = before - np.repeat(before[first], length)
+        release()
         return pd.DataFrame(
             {
                 "doc_id": pdf["doc_id"].iloc[row[member]].to_numpy(),

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm.bytescan import Tokens, ngram_hash
-from spanforge.llm.common import cut, keep_rows, map_texts, pieces, release, smallest_hashes
+from spanforge.llm.common import cut, keep_rows, make_room, map_texts, pieces, release, smallest_hashes
 
 BUCKET_BITS = 20
 #: mean nats per n-gram under which a document is rejected
@@ -79,6 +79,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BUCKET_BITS, target_limi
     trusted = spark.sparkContext.broadcast(_target_ids(labels, target_limit))  # target_limit ids at most
 
     def count(batches):
+        make_room()
         raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
         for batch in batches:
             for rows, texts in pieces(batch, "text"):

@@ -82,8 +82,8 @@ def _ones(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     first = np.concatenate(([0], np.cumsum(count)))
     some = np.flatnonzero(count)
     lo = 0
-    while lo < len(some):  # about 2**18 hashes at a time
-        hi = max(lo + 1, int(np.searchsorted(first[some], first[some[lo]] + (1 << 18))))
+    while lo < len(some):  # about 2**14 hashes at a time: reduceat makes a copy of 256 bytes a hash
+        hi = max(lo + 1, int(np.searchsorted(first[some], first[some[lo]] + (1 << 14))))
         a, b = first[some[lo]], first[some[hi - 1] + 1]
         bits = np.unpackbits(h[a:b].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones[some[lo:hi]] = np.add.reduceat(bits, first[some[lo:hi]] - a, axis=0, dtype=np.int32)
@@ -267,6 +267,7 @@ def _edges(found: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
             _, v = values_of(batch)
             for i in range(PARTS):
                 hist[i] += np.bincount(v[:, i], minlength=1 << WIDTH)
+        release()
         at = np.flatnonzero(hist.ravel())
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(hist.ravel()[at])], ["at", "n"])
 
@@ -312,6 +313,7 @@ def _edges(found: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
                                     part["r"] = np.where(ask[go], part["r"], -1)
                                     groups.setdefault(((i * shards + s) * int(kept_in.max()) + x) * int(ask_in.max()) + y, []).append(part)
                 yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array([np.concatenate(g).tobytes() for g in groups.values()], pa.binary())], ["shard", "rows"])
+        release()
 
     def probe(table: pa.Table) -> pa.Table:
         r = np.concatenate([np.frombuffer(x.as_buffer(), np.dtype(_RECORD)) for x in table.column("rows")])

@@ -1,15 +1,17 @@
 """The pipeline against a slow version of its own, and each stage on its own input."""
 
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 import __spark_entry__
 import corpus_pipeline
-from spanforge.llm import langid, linededup, packing, quality, simhash
+from spanforge.llm import bpe, langid, linededup, packing, quality, simhash
 from spanforge.llm.bytescan import Tokens
-from spanforge.llm.common import read
+from spanforge.llm.common import map_texts, read
 from tests.llm.test_bins import bfd, improvements, size_of
 from tests.llm.test_dedup import groups_by_force, strip_by_force
 from tests.llm.test_text import score_by_force
@@ -123,3 +125,50 @@ def test_every_query_is_registered_and_runs(spark, smallest):
     for name, f in found.items():
         if name.startswith("op"):
             assert f(spark, smallest).count() > 0, name
+
+
+def test_a_task_drops_what_other_work_remembers():
+    """A worker's table of pre-tokens stays for tasks that encode and goes when another stage's task begins."""
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    batch = pa.RecordBatch.from_pydict({"text": ["some words"]})
+    encoder = bpe.encoder(bpe.VOCABULARY)
+    encoder.count_tokens(["words that are remembered"])
+    list(map_texts(Rows(), lambda rows, texts: rows, "text string", keeps=bpe.WORDS)(iter([batch])))
+    assert encoder.known
+    list(map_texts(Rows(), lambda rows, texts: rows, "text string")(iter([batch])))
+    assert not encoder.known and not len(encoder.flat)
+
+
+def test_fingerprints_of_a_slice_take_little_memory():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9000, 400)) for _ in range(900)]  # about 2 MB, a slice of map_texts
+    simhash.fingerprints(texts)
+    tracemalloc.start()
+    simhash.fingerprints(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6
+
+
+def test_line_dedup_cuts_batches_by_size(spark, monkeypatch):
+    """Texts leave in slices, as they are read: what a task holds doesn't follow the rows in a batch."""
+    kind = type(spark.range(1))
+    seen, plain = [], kind.mapInArrow
+
+    def spy(df, run, schema, *more, **how):
+        seen.append((df, run))
+        return plain(df, run, schema, *more, **how)
+
+    monkeypatch.setattr(kind, "mapInArrow", spy)
+    rows = [(i, f"line of all sites\n{i} " + "x" * 5000, f"site{i % 20}") for i in range(1000)]
+    out = linededup.stage(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    df, run = seen[-1]
+    batch = df.toArrow().combine_chunks().to_batches()[0]
+    slices = list(run(iter([batch])))
+    assert batch.num_rows == 1000 and len(slices) > 1
+    got = {r["doc_id"]: r["new_text"] for part in slices for r in part.to_pylist()}
+    assert got == {i: t if i == 0 else t.split("\n")[1] for i, t, _ in rows} == {r.doc_id: r.text for r in out.collect()}
