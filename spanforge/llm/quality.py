@@ -24,13 +24,15 @@ are ignored, or passed through by ``keep``.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm.bytescan import Tokens, ngram_hash
-from spanforge.llm.common import cut, keep_rows, make_room, map_texts, pieces, release, smallest_hashes
+from spanforge.llm.common import keep_rows, make_room, map_texts, pieces, release, smallest_hashes
 
 BUCKET_BITS = 20
 #: mean nats per n-gram under which a document is rejected
@@ -39,6 +41,10 @@ THRESHOLD = -0.35
 FLOOR = -4.0
 TARGET_LIMIT = 2_000_000
 SMOOTHING = 4.0
+#: 2**RANGE_BITS neighbouring buckets are shuffled as one row
+RANGE_BITS = 10
+#: bytes of text that a task looks at together
+SLICE = 1 << 19
 
 
 def features(texts: list, bits: int = BUCKET_BITS) -> tuple[Tokens, np.ndarray, np.ndarray, np.ndarray]:
@@ -73,16 +79,41 @@ def _target_ids(labels: DataFrame, limit: int) -> np.ndarray:
     return np.sort(ids)
 
 
-def fit(docs: DataFrame, labels: DataFrame, bits: int = BUCKET_BITS, target_limit: int = TARGET_LIMIT) -> np.ndarray:
-    """The log ratio of each bucket, counted over all documents; 0 everywhere without a target."""
-    spark = docs.sparkSession
-    trusted = spark.sparkContext.broadcast(_target_ids(labels, target_limit))  # target_limit ids at most
+def _pack(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest of them needs."""
+    return counts.astype(np.min_scalar_type(counts.max())).tobytes()
+
+
+def _batch(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+    """A row for each range of buckets: its number, raw and target counts."""
+    raw, target = ([_pack(x[k]) for x in sums.values()] for k in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array(raw, pa.binary()), pa.array(target, pa.binary())], ["at", "raw", "target"])
+
+
+def _add(batches: Iterable[pa.RecordBatch], width: int) -> dict[int, np.ndarray]:
+    """Raw and target counts of each range of ``width`` buckets, added up over the rows of ``_batch``."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for at, *packed in zip(*(column.to_pylist() for column in batch.columns)):
+            own = sums.setdefault(at, np.zeros((2, width), np.int64))
+            for k, data in enumerate(packed):
+                own[k] += np.frombuffer(data, f"u{len(data) // width}").astype(np.int64)
+    return sums
+
+
+def counts(docs: DataFrame, labels: DataFrame, bits: int = BUCKET_BITS, target_limit: int = TARGET_LIMIT) -> DataFrame:
+    """N-grams by bucket over all documents and over the trusted ones: a row for each range of buckets, as ``_batch`` packs it.
+
+    A task of the first stage sends each range once, so the shuffle has 2**(bits - RANGE_BITS) rows of a task at most.
+    """
+    width = 1 << min(bits, RANGE_BITS)
+    trusted = docs.sparkSession.sparkContext.broadcast(_target_ids(labels, target_limit))  # target_limit ids at most
 
     def count(batches):
         make_room()
-        raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        found = np.zeros((2, 1 << bits), np.int64)
         for batch in batches:
-            for rows, texts in pieces(batch, "text"):
+            for rows, texts in pieces(batch, "text", SLICE):
                 ids = rows.column(0)
                 known = trusted.value
                 own = np.array(ids.fill_null(0).to_numpy(zero_copy_only=False), np.int64)
@@ -90,24 +121,33 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BUCKET_BITS, target_limi
                 good = (known[at] == own) & np.array(ids.is_valid()) if len(known) else np.zeros(len(own), bool)
                 tokens, word, pair, doc = features(texts, bits)
                 for bucket, who in ((word, tokens.doc), (pair, doc)):
-                    np.add.at(raw, bucket, 1)
-                    np.add.at(target, bucket[good[who]], 1)
+                    np.add.at(found[0], bucket, 1)
+                    np.add.at(found[1], bucket[good[who]], 1)
         release()
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, "bucket long, raw long, target long")
-    # each task has a bucket once: they are shuffled as they are, and added where they arrive
-    counts = cut(rows.repartition("bucket").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))
-    every, good = counts.agg(F.sum("raw"), F.sum("target")).first()
-    ratio = np.zeros(1 << bits, np.float32)
-    if good:
-        share = good / every
-        some = max(SMOOTHING, 1 / share)
-        value = F.log((F.col("target") / share + some) / (F.col("raw") + some)).cast("float")
-        found = counts.select(F.col("bucket").cast("int").alias("bucket"), value.alias("value")).toArrow()  # 2**bits rows at most
-        ratio[found.column("bucket").to_numpy()] = found.column("value").to_numpy()
-    return ratio
+        ranges = found.reshape(2, -1, width)
+        yield _batch({int(at): ranges[:, at] for at in np.flatnonzero(ranges[0].any(axis=1))})
+
+    def add(batches):
+        make_room()
+        yield _batch(_add(batches, width))
+
+    kind = "at int, raw binary, target binary"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, kind)
+    return rows.repartition("at").mapInArrow(add, kind)
+
+
+def fit(docs: DataFrame, labels: DataFrame, bits: int = BUCKET_BITS, target_limit: int = TARGET_LIMIT) -> np.ndarray:
+    """The log ratio of each bucket, counted over all documents; 0 everywhere without a target."""
+    found = counts(docs, labels, bits, target_limit).toArrow()  # 2**bits counts of each kind at most
+    raw, target = np.zeros((2, 1 << bits), np.int64)
+    width = 1 << min(bits, RANGE_BITS)
+    for at, own in _add(found.to_batches(), width).items():
+        raw[at * width : (at + 1) * width], target[at * width : (at + 1) * width] = own
+    if not target.any():
+        return np.zeros(1 << bits, np.float32)
+    share = int(target.sum()) / int(raw.sum())
+    some = max(SMOOTHING, 1 / share)
+    return np.log((target / share + some) / (raw + some)).astype(np.float32)
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, floor: float = FLOOR, **how) -> DataFrame:
@@ -118,10 +158,10 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, floo
         s, least = scores(texts, model.value)
         return pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.round(s, 6), from_pandas=True), pa.array(np.round(least, 6), from_pandas=True), pa.array(kept(s, least, threshold, floor))], ["doc_id", "score", "least", "keep"])
 
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fn, "doc_id long, score double, least double, keep boolean")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fn, "doc_id long, score double, least double, keep boolean", budget=SLICE)
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, floor: float = FLOOR, **how) -> DataFrame:
     """The documents that ``score`` keeps, all columns unchanged."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **how))
-    return keep_rows(docs, lambda texts: kept(*scores(texts, model.value), threshold, floor))
+    return keep_rows(docs, lambda texts: kept(*scores(texts, model.value), threshold, floor), budget=SLICE)

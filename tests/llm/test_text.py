@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from spanforge import storage
 from spanforge.llm import bpe, chat, katz, langid, quality
 from spanforge.llm.bytescan import Tokens
 from spanforge.llm.common import read
@@ -92,6 +93,45 @@ def test_quality_equals_brute_force(spark):
     assert quality.score(docs_of(spark, texts).limit(0), labels).count() == 0
 
 
+def test_quality_counts_are_shuffled_by_range_and_not_written(spark, monkeypatch):
+    """A task sends packed ranges, not a row for each bucket, and no file is written to gather the counts."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(800)) for i in range(12)] + ["", None, "   "]
+    docs, labels = docs_of(spark, texts).repartition(3), spark.createDataFrame([(i, 1, 0) for i in range(5)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(storage, "fresh_path", lambda *a: pytest.fail("the counts are written"))
+    ratio = quality.fit(docs, labels)
+    assert (ratio != 0).sum() > 1 << 10  # more buckets than there are ranges
+    rows = quality.counts(docs, labels).collect()
+    assert len(rows) == len({r.at for r in rows}) <= 1 << (quality.BUCKET_BITS - quality.RANGE_BITS)
+    sums = [sum(int(np.frombuffer(r[k], f"u{len(r[k]) >> quality.RANGE_BITS}").sum()) for r in rows) for k in ("raw", "target")]
+    assert sums == [12 * (800 + 799), 5 * (800 + 799)]
+
+
+@pytest.mark.parametrize("bits", [6, 10, 14])
+def test_quality_ratios_equal_brute_force(spark, bits):
+    """Also with fewer buckets than a range has, and in more tasks than one."""
+    texts = TEXTS + [f"good words number {i}" for i in range(300)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 200, 3)], "doc_id long, quality int, toxic int")
+    raw, target = np.zeros((2, 1 << bits))
+    for i, t in enumerate(texts):
+        _, word, pair, _ = quality.features([t], bits)
+        for b in [*word, *pair]:
+            raw[b] += 1
+            target[b] += i < 200 and i % 3 == 0
+    share = target.sum() / raw.sum()
+    some = max(quality.SMOOTHING, 1 / share)
+    want = np.log((target / share + some) / (raw + some))
+    assert quality.fit(docs_of(spark, texts).repartition(4), labels, bits=bits) == pytest.approx(want, abs=1e-6)
+
+
+def test_quality_counts_of_any_size_are_packed():
+    large = [0, 1, 255, 256, 65535, 65536, (1 << 32) - 1, 1 << 32, 1 << 40]
+    sums = {k: np.array([[x] * 4, [x // 2] * 4], np.int64) for k, x in enumerate(large)}
+    batch = quality._batch(sums)
+    assert [len(x) for x in batch.column(1).to_pylist()] == [4, 4, 4, 8, 8, 16, 16, 32, 32]
+    back = quality._add([batch, batch, quality._batch({})], 4)
+    assert all((back[k] == 2 * x).all() for k, x in sums.items()) and len(back) == len(sums)
+
+
 def test_quality_separates_labelled_junk(spark, smallest):
     sf = smallest.replace("0.001", "0.01")
     scored = quality.score(read(spark, sf, "documents"), read(spark, sf, "labels")).join(read(spark, sf, "labels"), "doc_id").collect()
